@@ -1,0 +1,4 @@
+"""The queries over the reference tables, and their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
