@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from manyfold.llm import bpe, exact_dedup, token_count
+from manyfold.llm import bpe, exact_dedup, html_text, secrets, simhash, token_count
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op3_simhash": simhash.op3_simhash,
+    "op4_secrets": secrets.op4_secrets,
+    "op5_html_text": html_text.op5_html_text,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_token_counts": token_count.op10_token_counts,
 }
