@@ -68,7 +68,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = cut(signatures(df, id_col, text_col, prefix, bits, digest_all))
     key = ["n_bytes", "prefix_hash", "sha256"]
-    groups = rows.where("survivor").groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("doc_id").alias("_keep")).where("_n > 1")
+    # a table of its own, so that the join may split a hot group when it is read
+    groups = cut(rows.where("survivor").groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("doc_id").alias("_keep")).where("_n > 1"))
     out = rows.join(groups, key, "left")
     keep = F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "sha256")
