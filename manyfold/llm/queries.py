@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from manyfold.llm import bpe, exact_dedup, html_text, secrets, simhash, token_count
+from manyfold.llm import bpe, exact_dedup, html_text, quality, secrets, simhash, token_count, topk
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_top_k": topk.op2_top_k,
     "op3_simhash": simhash.op3_simhash,
     "op4_secrets": secrets.op4_secrets,
     "op5_html_text": html_text.op5_html_text,
+    "op6_quality": quality.op6_quality,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_token_counts": token_count.op10_token_counts,
 }
-ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_top_k": topk.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
