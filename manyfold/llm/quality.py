@@ -63,7 +63,8 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     kinds = len(CLASSES) + 1
     out[:, :kinds] = np.bincount(at * kinds + CLASS_OF[body], minlength=n * kinds).reshape(n, kinds) / chars
     pairs = ((body[:-1].astype(np.int64) * 31 + body[1:]) * 2654435761 >> 11) % BUCKETS
-    out[:, kinds + 5 :] = np.bincount(at[:-1] * BUCKETS + pairs, minlength=n * BUCKETS).reshape(n, BUCKETS) / chars
+    within = at[:-1] == at[1:]
+    out[:, kinds + 5 :] = np.bincount((at[:-1] * BUCKETS + pairs)[within], minlength=n * BUCKETS).reshape(n, BUCKETS) / chars
     offset = np.arange(len(body)) - np.repeat(starts - starts[0], size)
     weight = (np.uint64(0x9E3779B97F4A7C15) * (2 * offset.astype(np.uint64) + np.uint64(1))) * (~flags)
     code = np.add.reduceat(weight * (body.astype(np.uint64) + np.uint64(1)), starts - starts[0])
