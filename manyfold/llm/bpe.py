@@ -216,8 +216,8 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
     return df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{ids_col}` as array<int>) ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes, decodes and returns digests: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes.
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes, decodes and returns digests: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes; the ids too if asked for.
 
     What encode() and decode() do, without carrying the ids between them: the decoded bytes
     are those of each word's ids, in order. Null counts as empty.
@@ -227,10 +227,17 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
         for ids, texts in slices(batches, SLICE_CHARS):
-            rows = [(len(raw) // 4, sha256(raw).hexdigest(), sha256(back).hexdigest(), len(back)) for raw, back in codec.encode_batch(texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x) for x in zip(*rows, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
-
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+            tokens, rows = [], []
+            for raw, back in codec.encode_batch(texts):
+                rows.append((len(raw) // 4, sha256(raw).hexdigest(), sha256(back).hexdigest(), len(back)))
+                tokens.append(np.frombuffer(raw, "<i4") if with_ids else None)
+            columns = [pa.array(ids, pa.int64()), *(pa.array(x) for x in zip(*rows, strict=True))]
+            if with_ids:
+                stops = np.concatenate([[0], np.cumsum([len(x) for x in tokens])])
+                columns.append(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(tokens), pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "ids"][: len(columns)])
+
+    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long" + ", ids array<int>" * with_ids)
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:

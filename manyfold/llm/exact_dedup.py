@@ -22,23 +22,30 @@ def _bit_of(*key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(bits)) + 1
 
 
-def _repeated(keys: DataFrame, names: list[str], bits: int) -> DataFrame:
-    """(bucket, bitmap) of the keys that more than one row has: bits / 32768 rows of 4 KB at most."""
-    twice = keys.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    bit = twice.select(_bit_of(*(F.col(n) for n in names), bits=bits).alias("_bit"))
+def bitmap_of(keys: DataFrame, names: list[str], bits: int = BITS) -> DataFrame:
+    """(bucket, bitmap) of keys: bits / 32768 rows of 4 KB at most."""
+    bit = keys.select(_bit_of(*(F.col(n) for n in names), bits=bits).alias("_bit"))
     return bit.groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bitmap"))
 
 
-def _survives(rows: DataFrame, key: list[Column], seen: DataFrame, bits: int, alive: Column, name: str) -> DataFrame:
-    """``rows`` with a boolean: the row is alive and its key's bit is set."""
+def _repeated(keys: DataFrame, names: list[str], bits: int) -> DataFrame:
+    """The bitmap of the keys that more than one row has."""
+    return bitmap_of(keys.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), names, bits)
+
+
+def in_bitmap(rows: DataFrame, key: list[Column], seen: DataFrame, bits: int = BITS, name: str = "_found") -> DataFrame:
+    """``rows`` with a boolean: the key's bit is set, as it is for every key in the bitmap and for few others."""
     bit = _bit_of(*key, bits=bits)
-    at = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    is_set = F.expr("_at % 8")
-    out = rows.withColumn("_probe", F.bitmap_bucket_number(bit)).withColumn("_at", at)
+    out = rows.withColumn("_probe", F.bitmap_bucket_number(bit)).withColumn("_at", F.bitmap_bit_position(bit))
     out = out.join(F.broadcast(seen), out["_probe"] == seen["_bucket"], "left")
-    hit = F.coalesce((F.call_function("getbit", byte, is_set.cast("int")) == 1), F.lit(False))
-    return out.withColumn(name, alive & hit).drop("_probe", "_at", "_bucket", "_bitmap")
+    hit = F.call_function("getbit", byte, F.expr("cast(_at % 8 as int)")) == 1
+    return out.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_probe", "_at", "_bucket", "_bitmap")
+
+
+def _survives(rows: DataFrame, key: list[Column], seen: DataFrame, bits: int, alive: Column, name: str) -> DataFrame:
+    """``rows`` with a boolean: the row is alive and its key's bit is set."""
+    return in_bitmap(rows, key, seen, bits, name).withColumn(name, alive & F.col(name))
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, bits: int = BITS, digest_all: bool = False) -> DataFrame:

@@ -105,8 +105,8 @@ def _gray_rank(fp: Column) -> Column:
 class GrayIndex:
     """Search within the radius among fingerprints in Gray order."""
 
-    def __init__(self, fps: np.ndarray):
-        self.fps = fps
+    def __init__(self, fps: np.ndarray, radius: int = RADIUS):
+        self.fps, self.radius = fps, radius
         self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []  # own mask, pattern, rows below; the root first
         span, both, either = LEAF, fps, fps
         starts = np.arange(0, len(fps), LEAF)
@@ -137,14 +137,14 @@ class GrayIndex:
                 inside = (node < len(mask)) & ((node + 1) * span > query + 1)
                 query, node, off = query[inside], node[inside], off[inside]
             off = off + np.bitwise_count((fps[query] ^ pattern[node]) & mask[node])
-            near = off <= RADIUS
+            near = off <= self.radius
             query, node, off = query[near], node[near], off[near]
             fan, below = FANOUT, span
         j = (node[:, None] * below + np.arange(below)).ravel()
         i, off = np.repeat(query, below), np.repeat(off, below)
         inside = (j < n) & (j > i)
         i, j, off = i[inside], j[inside], off[inside]
-        near = off + np.bitwise_count((fps[i] ^ fps[j]) & self.leaf_mask[j]) <= RADIUS
+        near = off + np.bitwise_count((fps[i] ^ fps[j]) & self.leaf_mask[j]) <= self.radius
         return i[near], j[near]
 
 
