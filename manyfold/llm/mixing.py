@@ -20,6 +20,8 @@ DOUBT = 0.1
 #: Default targets: shares of tokens raised to this power.
 TEMPER = 0.7
 ITERATIONS = 10
+#: Sources whose totals may come to the driver at each step.
+FEW = 64
 SMOOTHING = 1.0
 
 WORD, SHOUT, SIGN = "[^ \\t\\n\\r]+", "[A-Z][A-Z]+", "[*#$%&!|]"
@@ -40,14 +42,51 @@ def features(df: DataFrame, text_col: str = "text", source_col: str = "source",
     return with_tokens.withColumn("_cell", cell).withColumn("_source", F.col(f"`{source_col}`").cast("string"))
 
 
-def group_rates(groups: DataFrame, targets: dict[str, float] | None = None, doubt: float = DOUBT, temper: float = TEMPER, iterations: int = ITERATIONS) -> DataFrame:
+def group_rates(groups: DataFrame, targets: dict[str, float] | None = None, doubt: float = DOUBT, temper: float = TEMPER, iterations: int = ITERATIONS, few: int = FEW) -> DataFrame:
     """(_source, _cell, rate) for a table (_source, _cell, docs, tokens) with one row per group.
 
     targets: weights per source, of which those for sources without tokens ask for nothing; without
     them the sources' shares of labelled tokens to the power ``temper``. The expected total stays that of the corpus. Steps are
     scaled by the tokens of a source and by the largest overlap, under which they can't diverge.
+    With up to ``few`` sources a group's posterior is one array and a step one global sum of as many numbers; with more,
+    it is rows and joins.
     """
+    if targets is not None and not sum(targets.values()) > 0:
+        raise ValueError("targets must weigh something")
     groups = cut(groups)
+    sources = groups.where("_source is not null").groupBy("_source").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("tokens > 0").limit(few + 1).collect()
+    by = _rates_by_arrays if len(sources) <= few else _rates_by_joins
+    return by(groups, targets, doubt, temper, iterations, *([sorted(sources)] if by is _rates_by_arrays else []))
+
+
+def _rates_by_arrays(groups: DataFrame, targets: dict[str, float] | None, doubt: float, temper: float, iterations: int, sources: list) -> DataFrame:
+    weight = [float((targets or {}).get(s, 0.0)) if targets is not None else t**temper for s, _, t in sources]
+    if not sum(weight) > 0:
+        return groups.select("_source", "_cell", F.lit(1.0).alias("rate"))
+    docs, tokens = sum(d for _, d, _ in sources), groups.agg(F.sum("tokens")).first()[0]
+    prior, target = [d / docs for _, d, _ in sources], [w / sum(weight) * tokens for w in weight]
+    # P(source | cell): counts of the labelled rows of the cell, smoothed by the prior
+    here = [F.sum(F.when(F.col("_source") == s, F.col("docs")).otherwise(0)) for s, _, _ in sources]
+    seen = F.sum(F.when(F.col("_source").isNotNull(), F.col("docs")).otherwise(0))
+    cells = groups.groupBy(F.col("_cell").alias("_h")).agg(F.array(*((n + SMOOTHING * q) / (seen + SMOOTHING) for n, q in zip(here, prior, strict=True))).alias("q"))
+    own = F.array(*(F.when(F.col("_source") == s, 1 - doubt).otherwise(0.0) for s, _, _ in sources))
+    p = F.when(F.col("_source").isNull(), F.col("q")).otherwise(F.zip_with("q", own, lambda q, o: doubt * q + o))
+    both = groups.join(cut(cells), F.col("_cell") == F.col("_h"))
+    member = cut(both.select("_source", "_cell", F.col("tokens").cast("double").alias("tokens"), p.alias("p"), F.lit(1.0).alias("rate")).coalesce(16))
+    k = range(len(sources))
+    moments = member.agg(*(F.sum(F.col("tokens") * F.col("p")[i]) for i in k), *(F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[i]) for i in k)).first()
+    first, second = moments[: len(sources)], moments[len(sources) :]
+    most = max(f / s for f, s in zip(first, second, strict=True))
+    for _ in range(iterations):
+        total = member.withColumn("m", F.col("tokens") * F.col("rate")).agg(*(F.sum(F.col("m") * F.col("p")[i]) for i in k)).first()
+        pull = F.array(*(F.lit((total[i] - target[i]) / (second[i] * most)) for i in k))
+        step = F.aggregate(F.zip_with("p", pull, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+        member = member.withColumn("rate", F.when(F.col("tokens") > 0, F.greatest(F.lit(0.0), F.col("rate") - step)).otherwise(F.lit(1.0)))
+    return member.select("_source", "_cell", "rate")
+
+
+def _rates_by_joins(groups: DataFrame, targets: dict[str, float] | None, doubt: float, temper: float, iterations: int) -> DataFrame:
+    """The steps for any number of sources: memberships stand in rows (group, source) and meet by joins."""
     labelled = groups.where("_source is not null")
     sources = labelled.groupBy(F.col("_source").alias("s")).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("tokens > 0")
     if targets is not None:

@@ -26,8 +26,9 @@ def projected(groups, sources, q, targets, iterations, doubt):
     return r, (w * r) @ p
 
 
+@pytest.mark.parametrize("few", [X.FEW, 1])
 @pytest.mark.parametrize("targets", [None, {"hot": 1.0, "b": 1.0, "c": 2.0, "absent": 5.0}, {"b": 1.0}])
-def test_rates(spark, targets):
+def test_rates(spark, targets, few):
     df = docs(spark)
     marked = X.features(df)
     groups = [tuple(r) for r in marked.groupBy("_source", "_cell").agg(F.count(F.lit(1)), F.sum("_tokens")).collect()]
@@ -43,7 +44,7 @@ def test_rates(spark, targets):
         q[cell] = {s: (here[s] + n[s] / sum(n.values())) / (sum(here.values()) + 1) for s in sources}
     live = [g for g in groups if g[3] > 0]
     rates, reached = projected(live, sources, q, want, X.ITERATIONS, X.DOUBT)
-    got = {(r["_source"], r["_cell"]): r["_rate"] for r in X.mix(df, targets).join(marked.select("doc_id", "_source", "_cell"), "doc_id").collect()}
+    got = {(r["_source"], r["_cell"]): r["_rate"] for r in X.mix(df, targets, few=few).join(marked.select("doc_id", "_source", "_cell"), "doc_id").collect()}
     for g, r in zip(live, rates, strict=True):
         if (g[0], g[1]) in got:
             assert abs(got[g[0], g[1]] - r) < 2e-6
