@@ -11,7 +11,7 @@ def scatter(x: Column, seed: int = 0) -> Column:
     return ((x + 1 + seed) * 7919 + ((x + 1 + seed) % 1009) * 104729 + ((x + 1 + seed) % 9973) * 15485863) % 1000003 % 1000000
 
 
-SCATTER_SQL = "((({x} + 1 + {seed}) * 7919 + (({x} + 1 + {seed}) % 1009) * 104729 + (({x} + 1 + {seed}) % 9973) * 15485863) % 1000003 % 1000000)"
+SCATTER_SQL = "((({x}::BIGINT + 1 + {seed}) * 7919 + (({x}::BIGINT + 1 + {seed}) % 1009) * 104729 + (({x}::BIGINT + 1 + {seed}) % 9973) * 15485863) % 1000003 % 1000000)"
 
 
 def event_log(spark: SparkSession, n: int, regions: int = 8, block: int = 4096) -> DataFrame:
