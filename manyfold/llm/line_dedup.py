@@ -72,10 +72,25 @@ def plan(length: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
     return _plans[length]
 
 
-def sketch(codes: np.ndarray) -> int:
-    """Parity of how often each of 64 kinds of character occurs."""
-    odd = np.bincount((codes * np.uint32(2654435761)) >> np.uint32(26), minlength=64) & 1
-    return int(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")[0])
+#: The bit of a sketch that marks a probe.
+PROBE = 63
+
+
+def sketches(lines: list[str]) -> np.ndarray:
+    """Parity of how often each of 63 kinds of character occurs, for every line."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
+    kinds = np.minimum((codes * np.uint32(2654435761)) >> np.uint32(26), PROBE - 1).astype(np.int64)
+    out = np.empty(len(lines), np.int64)
+    stops = np.cumsum([len(x) for x in lines])
+    first = start = 0
+    while first < len(lines):  # some thousand lines at a time
+        last = min(len(lines), first + 4096)
+        size = np.diff(np.concatenate([[start], stops[first:last]]))
+        owner = np.repeat(np.arange(last - first), size)
+        odd = np.bincount(owner * 64 + kinds[start : stops[last - 1]], minlength=(last - first) * 64) & 1
+        out[first:last] = np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view("<i8")[:, 0]
+        first, start = last, stops[last - 1]
+    return out
 
 
 def within(a: str, b: str, t: int) -> bool:
@@ -141,39 +156,37 @@ def lines_of(df: DataFrame) -> DataFrame:
 
 
 def signatures(df: DataFrame, probes: bool = True) -> DataFrame:
-    """(sig, h, sk, probe) of the lines, each line once a task; only index entries if not ``probes``."""
+    """(sig, h, sk) of the lines, each line once a task; only index entries, and these without sketch, if not ``probes``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as digest
 
         seen: set[int] = set()
         for ids, texts in slices(batches, SLICE_CHARS // 4):
-            _, _, lines = _line_rows(ids, texts)
-            lines = [x for x in set(lines) if len(x) >= SHORT]
-            h, _ = _hashes(lines)
-            sigs, owners, flags, kept, sketches = [], [], [], [], []
-            for x, own in zip(lines, h.tolist(), strict=True):
-                if own in seen:
-                    continue
-                seen.add(own)
-                raw = x.encode("utf-32-le")
-                view = memoryview(raw)
-                entries, others = plan(len(x))
-                sigs += [digest(view[4 * a : 4 * b], s) for s, a, b in entries]
-                flags += [False] * len(entries)
+            lines = [x for x in set(_line_rows(ids, texts)[2]) if len(x) >= SHORT]
+            hashes, _ = _hashes(lines)
+            fresh = [k for k, own in enumerate(hashes.tolist()) if own not in seen]
+            lines, hashes = [lines[k] for k in fresh], hashes[fresh]
+            seen.update(hashes.tolist())
+            sigs, entries, others = [], [], []
+            for x in lines:
+                view = memoryview(x.encode("utf-32-le"))
+                own, more = plan(len(x))
+                sigs += [digest(view[4 * a : 4 * b], s) for s, a, b in own]
+                entries.append(len(own))
                 if probes:
-                    sigs += [digest(view[4 * a : 4 * b], s) for s, a, b in others]
-                    flags += [True] * len(others)
-                owners.append(len(sigs))
-                kept.append(own)
-                sketches.append(sketch(np.frombuffer(raw, "<u4")))
+                    sigs += [digest(view[4 * a : 4 * b], s) for s, a, b in more]
+                    others.append(len(more))
             if len(seen) > 4_000_000:
                 seen.clear()  # a line may then come again, which costs a row and changes nothing
-            size = np.diff([0, *owners]) if owners else np.zeros(0, int)
-            repeat = lambda v: pa.array(np.repeat(np.array(v, np.int64), size))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(sigs, np.uint64).view(np.int64)), repeat(kept), repeat(sketches), pa.array(flags, pa.bool_())], ["sig", "h", "sk", "probe"])
+            columns = [pa.array(np.array(sigs, np.uint64).view(np.int64))]
+            if probes:
+                size = np.array([entries, others], np.int64).T.ravel()
+                sk = np.stack([sketches(lines), sketches(lines) | np.int64(-(1 << PROBE))], axis=1).ravel() if lines else np.zeros(0, np.int64)
+                columns += [pa.array(np.repeat(np.repeat(hashes, 2), size)), pa.array(np.repeat(sk, size))]
+            yield pa.RecordBatch.from_arrays(columns, ["sig", "h", "sk"][: len(columns)])
 
-    return df.mapInArrow(run, "sig long, h long, sk long, probe boolean")
+    return df.mapInArrow(run, "sig long, h long, sk long" if probes else "sig long")
 
 
 def _near(sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,40 +208,38 @@ def _near(sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, part, h, sk, probe) sorted by sig and part to pairs (a, b), a < b, of lines to verify."""
+    """Rows (key, h, sk) sorted by key to pairs (a, b), a < b, of lines to verify."""
 
-    def emit(h: np.ndarray, sk: np.ndarray, probe: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(h: np.ndarray, sk: np.ndarray) -> Iterator[pa.RecordBatch]:
+        probe = sk < 0
         if len(h) < 2 or probe.all():
             return
-        i, j = _near(sk.view(np.uint64))
+        i, j = _near((sk & np.int64((1 << PROBE) - 1)).view(np.uint64))
         fine = ~(probe[i] & probe[j]) & (h[i] != h[j])
         a, b = h[i[fine]], h[j[fine]]
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     held: list[list[np.ndarray]] = []
-    key = None
+    held_key = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig, part, h, sk, probe = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        edges = np.flatnonzero((sig[1:] != sig[:-1]) | (part[1:] != part[:-1])) + 1
-        bounds = np.concatenate([[0], edges, [len(sig)]])
-        groups = len(bounds) - 1
-        if held and key == (sig[0], part[0]):
-            held.append([x[: bounds[1]].copy() for x in (h, sk, probe)])
+        key, h, sk = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        groups, first = len(bounds) - 1, 0
+        if held and held_key == key[0]:
+            held.append([x[: bounds[1]].copy() for x in (h, sk)])
             first = 1
-        else:
-            first = 0
         if held and (groups > 1 or not first):
             yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held = []
         sizes = np.diff(bounds)
         for g in (np.flatnonzero(sizes[first : groups - 1] > 1) + first).tolist():
             s = slice(bounds[g], bounds[g + 1])
-            yield from emit(h[s], sk[s], probe[s])
+            yield from emit(h[s], sk[s])
         if groups - 1 >= first:
-            held, key = [[x[bounds[-2] :].copy() for x in (h, sk, probe)]], (sig[-1], part[-1])
+            held, held_key = [[x[bounds[-2] :].copy() for x in (h, sk)]], key[-1]
     if held:
         yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -240,13 +251,13 @@ def candidates(df: DataFrame, large: int = LARGE) -> DataFrame:
     most, so two lines that belong together still meet, and no entry is left out.
     """
     crowded = cut(signatures(df, probes=False).groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large).select(F.col("sig").alias("_sig")))
-    rows = signatures(df)
-    rows = rows.join(crowded, rows["sig"] == crowded["_sig"], "left") if crowded.take(1) else rows.withColumn("_sig", F.lit(None).cast("long"))
-    blocks = F.array(*(F.xxhash64(F.lit(i), F.col("sk").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks(list(range(64)), 6, OFF))))
-    part = F.explode(F.when(F.col("_sig").isNull(), F.array(F.lit(0).cast("long"))).otherwise(blocks))
+    rows = signatures(df).withColumnRenamed("sig", "key")
+    if crowded.take(1):
+        rows = rows.join(crowded, rows["key"] == crowded["_sig"], "left")
+        blocks = F.array(*(F.xxhash64("key", F.lit(i), F.col("sk").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks(list(range(PROBE)), 6, OFF))))
+        rows = rows.select(F.explode(F.when(F.col("_sig").isNull(), F.array("key")).otherwise(blocks)).alias("key"), "h", "sk")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("sig", part.alias("part"), "h", "sk", "probe").repartition(n, "sig", "part").sortWithinPartitions("sig", "part")
-    return dealt.mapInArrow(_met, "a long, b long").distinct()
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_met, "a long, b long").distinct()
 
 
 def line_text(df: DataFrame, wanted: DataFrame) -> DataFrame:
