@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col
     # at most train_docs ids and labels are broadcast
     text = id_text(docs, id_col, text_col)
     rows = text.join(F.broadcast(chosen), text["doc_id"] == chosen["_id"]).select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, x binary, quality double")
-    got = sorted(((r.doc_id, bytes(r.x), r.quality) for r in rows.toLocalIterator()), key=lambda r: r[:2])
+    got = sorted(((r.doc_id, bytes(r.x), r.quality) for r in rows.collect()), key=lambda r: r[:2])
     model = Attention(WIDTH)
     y = np.array([float(q > 0) for _, _, q in got])
     if len(set(y)) == 2:
