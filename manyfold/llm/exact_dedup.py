@@ -82,11 +82,24 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "sha256")
 
 
+def without(df: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id isn't among ``dropped``'s (_dropped), with their columns; a null id is an id.
+
+    Rows that a bitmap of the dropped ids clears pass straight through; only the others, few more than are dropped, are
+    shuffled for the join that decides. Should the bitmap fill up, all of them are.
+    """
+    dropped = cut(dropped)
+    seen = cut(bitmap_of(dropped, ["_dropped"]))
+    marked = in_bitmap(df, [F.col(f"`{id_col}`").cast("long")], seen, name="_maybe")
+    doubtful = marked.where("_maybe").drop("_maybe")
+    stays = doubtful.join(dropped, doubtful[f"`{id_col}`"].eqNullSafe(dropped["_dropped"]), "left_anti")
+    return marked.where("not _maybe").drop("_maybe").unionByName(stays)
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with their columns; ids must tell rows apart."""
     groups = exact_groups(df, id_col, text_col)
-    dropped = groups.where("not kept").select(F.col("doc_id").alias("_dropped"))
-    return df.join(dropped, df[f"`{id_col}`"].eqNullSafe(dropped["_dropped"]), "left_anti")
+    return without(df, id_col, groups.where("not kept").select(F.col("doc_id").cast("long").alias("_dropped")))
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

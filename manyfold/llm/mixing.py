@@ -20,6 +20,8 @@ DOUBT = 0.1
 #: Default targets: shares of tokens raised to this power.
 TEMPER = 0.7
 ITERATIONS = 10
+#: Rates, one a source and cell, that may be broadcast.
+SMALL_TABLE = 50_000
 #: Sources whose totals may come to the driver at each step.
 FEW = 64
 SMOOTHING = 1.0
@@ -139,6 +141,8 @@ def mix(df: DataFrame, targets: dict[str, float] | None = None, id_col: str = "d
     marked = features(df, text_col, source_col, lang_col)
     groups = marked.groupBy("_source", "_cell").agg(F.count(F.lit(1)).alias("docs"), F.sum("_tokens").alias("tokens"))
     rates = cut(group_rates(groups, targets, **options).withColumnsRenamed({"_source": "_g", "_cell": "_h"}).withColumnRenamed("rate", "_r"))
+    if rates.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE:  # else the documents are dealt to it by source and cell
+        rates = F.broadcast(rates)
     out = marked.join(rates, F.col("_source").eqNullSafe(F.col("_g")) & (F.col("_cell") == F.col("_h")), "left")
     rate = F.round(F.col("_r"), 6)
     copies = F.floor(rate) + (_chance(F.col(f"`{id_col}`")) < rate - F.floor(rate)).cast("long")

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from manyfold.llm.common import cut, id_text, slices, table
+from manyfold.llm.exact_dedup import without
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 BLOCKS = 6
@@ -273,8 +274,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, one per component: the one of the smallest id; ids must tell rows apart."""
-    dropped = near_groups(df, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped"))
-    return df.join(dropped, df[f"`{id_col}`"].eqNullSafe(dropped["_dropped"]), "left_anti")
+    found = near_groups(df, id_col, text_col)
+    return without(df, id_col, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped")))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
