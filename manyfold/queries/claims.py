@@ -213,3 +213,8 @@ def _(spark, sf):
     top = C.verdicts(b, *V)
     ties = C.tally(b, *V).join(top, "fact").where("n = top").groupBy("fact").agg(F.count(F.lit(1)).alias("k"), F.first("plurality").alias("plurality"))
     return ties.where("k > 1").select("fact", "plurality")
+
+
+@query("X3_policy_and_field", A + "SELECT doc_id, CASE WHEN max(k) = 1 THEN max(label) END AS verdict FROM v GROUP BY doc_id")
+def _(spark, sf):
+    return C.adjudicate(annotations(spark, sf), "unanimous", "doc_id", "label", "ord")

@@ -325,3 +325,16 @@ def _(spark, sf):
         row = tree.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("nodes"), (F.count_if(F.col("type") == "INTERNAL") + F.sum(R.payload_bytes())).alias("bytes"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query("X2_fit_criterion", "SELECT true AS rms_is_milder, true AS others_are_refused")
+def _(spark, sf):
+    px = one(spark, "rings")
+    nodes = R.pyramid(px, N).select("level", "i", "j").distinct()
+    worst, mean = (R.dct_error(px, nodes, N, c).withColumnRenamed("error", c) for c in ("max", "rms"))
+    milder = worst.join(mean, ["level", "i", "j"]).agg(F.bool_and(F.col("rms") <= F.col("max")).alias("rms_is_milder"))
+    try:
+        R.dct_error(px, nodes, N, "median")
+    except ValueError:
+        return milder.withColumn("others_are_refused", F.lit(True))
+    return milder.withColumn("others_are_refused", F.lit(False))
