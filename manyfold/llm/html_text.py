@@ -31,9 +31,12 @@ SCOPE = frozenset("html body table td th caption button".split())
 DROPPED_TAGS = frozenset("nav header footer aside form button fieldset head dialog menu".split()) | RAW
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promo(?:tion)?s?|nav(?:bar|igation)?|menus?|breadcrumbs?|header|masthead|footer|sidebars?|aside|cookies?|consent|gdpr|notices?|notifications?|popups?|modals?|overlay|newsletter|subscribe|signup|comments?|commentlist|disqus|respond|repl(?:y|ies)|shar(?:e|ing)|social|related|recommend(?:ed|ations)?|widgets?|pagination|pager|toolbar|login|search)(?=$|[\s_\d-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adsbygoogle|banners?|sponsor(?:ed|s)?|promo(?:tion)?s?|nav(?:bar|igation)?|menus?|breadcrumbs?|header|masthead|footer|side-?bars?|aside|cookies?|consent|gdpr|notices?|notifications?|popups?|modals?|overlay|newsletter|subscribe|signup|comments?|commentlist|disqus|respond|repl(?:y|ies)|shar(?:e|ing)|social|related|recommend(?:ed|ations)?|widgets?|pagination|pager|toolbar|login|search)(?=$|[\s_\d-])",
     re.I,
 )
+#: Names that say how a page is laid out, not what an element is: with-sidebar is no sidebar.
+MODIFIER = re.compile(r"^(?:has|with|no|is|layout)[_-]", re.I)
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 GOOD_NAMES = re.compile(r"article|body|content|entry|hentry|main|page|post|text|blog|story", re.I)
 PARAGRAPHS = frozenset("p pre td blockquote section h2 h3 h4 h5 h6 div li".split())
 LEAST_PARAGRAPH = 25
@@ -109,6 +112,7 @@ def _open(parent: Node, tag: str, attributes: str) -> Node:
             role = value.strip().lower()
         elif name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             hidden = True
+    names = [HUMP.sub("-", x) for n in names for x in n.split() if not MODIFIER.match(x)]
     node = Node(tag, " ".join(names), "dialog" if hidden else role, parent)
     parent.children.append(node)
     return node

@@ -19,6 +19,14 @@ def test_container_by_score():
     assert main_text(page) == " ".join(f"Sentence {i}, with some words, and commas, to make it count." for i in range(6))
 
 
+def test_names_of_parts_and_of_layouts():
+    body = "".join(f"<p>Sentence {i}, with some words, and commas, to make it count.</p>" for i in range(6))
+    text = " ".join(f"Sentence {i}, with some words, and commas, to make it count." for i in range(6))
+    parts = "".join(f"<div class='{c}'><p>Other words, many of them, with commas, as bait, here.</p></div>" for c in ("sideBar", "cookieNotice", "reader-comments", "adsbygoogle", "share-buttons", "top_nav", "related-posts 3"))
+    assert main_text(f"<body><div class='page has-sidebar no-banner'>{parts}<div class='entry'>{body}</div></div></body>") == text
+    assert main_text(f"<body><article class='post with-comments'>{body}{parts}</article></body>") == text
+
+
 def test_odd_pages():
     assert [main_text(x) for x in (None, "", "plain  text", "<p>", "<<>&am <b", "<p>short</p>")] == ["", "", "plain text", "", "<<>&am <b", "short"]
     assert main_text("<article>&amp;amp; x</article>") == "&amp; x"
