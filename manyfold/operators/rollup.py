@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from manyfold.storage import settle
 
+#: Levels that are folded together.
+STEP = 8
+
 OPERATORS = {"gt": lambda c, t: c > t, "lt": lambda c, t: c < t}
 
 
@@ -78,22 +81,21 @@ class RangeRollup:
     def build(cls, df: DataFrame, key: str, column: str, block: int = 1024, category: str | None = None, block_id: Column | None = None, fanout: int = 2, levels: int | None = None) -> RangeRollup:
         """block_id: a column that numbers the blocks by itself, where the key is dense; else rows are numbered by key."""
         base = df.withColumn("block_id", block_id.cast("long")) if block_id is not None else numbered(df, key, block)
-        level = _folded(base, [F.col("block_id").alias("node")], True, key, column).withColumn("level", F.lit(0))
+        level = settle(_folded(base, [F.col("block_id").alias("node")], True, key, column).withColumn("level", F.lit(0)))
         if levels is None:
             last = level.agg(F.max("node")).first()[0] or 0
             levels, width = 0, last + 1
             while width > 1:
                 width = -(-width // fanout)
                 levels += 1
-        found = [level]
-        for k in range(1, levels + 1):
-            level = _folded(level, [F.floor(F.col("node") / fanout).alias("node")], False, key, column).withColumn("level", F.lit(k))
-            if k % 4 == 0:
-                level = settle(level)
-            found.append(level)
-        nodes = found[0]
-        for more in found[1:]:
-            nodes = nodes.unionByName(more)
+        # some levels at once from the lowest of them: one shuffle a step, each of a table that the step before has shrunk
+        nodes, lowest = level, 0
+        while lowest < levels:
+            highest = min(levels, lowest + STEP)
+            up = level.withColumn("_up", F.explode(F.sequence(F.lit(1), F.lit(highest - lowest))))
+            above = _folded(up, [(F.lit(lowest) + F.col("_up")).alias("level"), F.expr(f"node div cast(pow({fanout}, _up) as bigint)").alias("node")], False, key, column)
+            above = settle(above)
+            nodes, level, lowest = nodes.unionByName(above), above.where(F.col("level") == highest), highest
         counts = None
         if category is not None:
             counts = base.groupBy(F.col("block_id").alias("node"), F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("n"))
