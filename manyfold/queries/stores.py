@@ -303,6 +303,14 @@ def _(spark, sf):
     return K.verify_all(chosen, K.prove_each(tree, chosen), F.lit(root))
 
 
+@query("O5_merkle_verify_all", "SELECT doc_id AS idx, doc_id <> 123 AS valid FROM documents")
+def _(spark, sf):
+    tree = K.build(leaves(spark, sf))
+    root = bytes.fromhex(K.commit(tree).first().root)
+    every = leaves(spark, sf, True)
+    return K.verify_all(every, K.prove_each(tree, every), F.lit(root))
+
+
 @query("O6_merkle_multiproof", "SELECT true AS whole, false AS forged, 37::BIGINT AS indices")
 def _(spark, sf):
     tree, wanted = K.build(leaves(spark, sf)), list(range(100, 137))

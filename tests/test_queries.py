@@ -39,3 +39,11 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the sample tables")
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the sample tables")
+def test_every_leaf_is_verified(spark):
+    docs = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    got = {r.idx: r.valid for r in entry.queries()["O5_merkle_verify_all"](spark, SF).collect()}
+    assert got == {i: i != 123 for i in docs}
+    test_query_equals_sql(spark, "O5_merkle_verify_all")
