@@ -75,6 +75,12 @@ def _(spark, sf):
     return m.join(wanted, ["id", "topic"]).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("J5_id_index_join_all", MEM + "SELECT m.topic, count(*) AS n FROM m GROUP BY m.topic")
+def _(spark, sf):
+    m = memories(spark, sf)
+    return m.join(M.id_index(m), ["id", "topic"]).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("S19_json_lines", MEM + "SELECT kind, count(*) AS n FROM m GROUP BY kind")
 def _(spark, sf):
     path = scratch(spark) + "/json"

@@ -47,3 +47,10 @@ def test_every_leaf_is_verified(spark):
     got = {r.idx: r.valid for r in entry.queries()["O5_merkle_verify_all"](spark, SF).collect()}
     assert got == {i: i != 123 for i in docs}
     test_query_equals_sql(spark, "O5_merkle_verify_all")
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the sample tables")
+def test_every_event_is_looked_up(spark):
+    got = entry.queries()["J5_id_index_join_all"](spark, SF).agg({"n": "sum"}).first()[0]
+    assert got == spark.read.parquet(f"{SF}/events.parquet").count()
+    test_query_equals_sql(spark, "J5_id_index_join_all")
