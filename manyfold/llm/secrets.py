@@ -23,8 +23,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "novel")
 
-#: Words that make the next CONTEXT code points sensitive.
-SENSITIVE = re.compile(r"(?i:passw|passphrase|pwd|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|credential|bearer|authorization|signature|client[_-]?id|connection[_-]?string)", re.ASCII)
+#: Words that make the next CONTEXT code points sensitive, and so many after each candidate that is reported.
+SENSITIVE = re.compile(r"(?i:passw|passphrase|pwd|secret|token|api[\s_-]?key|private[\s_-]?key|access[\s_-]?key|credential|bearer|authorization|signature|client[\s_-]?id|connection[\s_-]?string)", re.ASCII)
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "bearer", "authorization", "signature", "client", "connection")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 CONTEXT, AROUND = 64, 512
@@ -68,7 +68,7 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of incompressible strings within CONTEXT code points after a sensitive word, apart from what is taken."""
+    """Spans of incompressible strings within CONTEXT code points after a sensitive word or another such string, apart from what is taken."""
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
@@ -81,11 +81,10 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             value = m.group()
             if any(s < m.end() and m.start() < e for s, e in busy):
                 continue
-            if not (re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value)):
-                continue
             added = marginal_bytes(value, text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND])
             if added >= max(NOVEL_BYTES, NOVEL_SHARE * len(value)):
                 found.append((m.start(), 3, m.end()))
+                stop = m.end() + CONTEXT  # a key of many lines is followed to its end
     return found
 
 

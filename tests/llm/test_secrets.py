@@ -45,3 +45,15 @@ def test_query_digests(spark, tmp_path):
     assert rows[1].base_sha256 == rows[2].base_sha256 == sha256(b"").hexdigest()
     assert rows[3].n_novel == 1 and rows[3].spans.startswith("novel:7:")
     assert X.find_secrets(spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)).count() == 0
+
+
+def test_novelty_of_key_blocks_and_labels():
+    rng = random.Random(6)
+    lines = ["".join(rng.choice(ALNUM) for _ in range(64)) for _ in range(20)]
+    for kind in ("RSA PRIVATE KEY", "OPENSSH PRIVATE KEY", "private_key"):
+        text = f"x -----BEGIN {kind}-----\n" + "\n".join(lines) + f"\n-----END {kind}-----\nend"
+        assert X.novel_spans(text, []) == [(text.index(k), 3, text.index(k) + 64) for k in lines]
+    letters = "".join(rng.choice(ALNUM[:52]) for _ in range(32))  # no digit
+    for label in ("api key: ", "access key = ", "token "):
+        assert X.novel_spans(label + letters, []) == [(len(label), 3, len(label) + 32)]
+    assert X.novel_spans("token " + "-" * 40, []) == []
