@@ -1,13 +1,17 @@
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from manyfold import learn
 from manyfold.functions import measures as M
+from manyfold.queries import QUERIES, studies
 from manyfold.sources import generate as G
 from manyfold.streaming import detect
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_divergence_and_entropy(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.5, 0.5], [0.5, 0.5])], "p array<double>, q array<double>")
@@ -68,3 +72,20 @@ def test_scores(spark):
     df = spark.createDataFrame([(3, 3, 3), (1, 3, 3), (2, 1, 3)], "dis int, col int, gap int")
     assert [r.v for r in df.select(M.stance("dis", "col", "gap").alias("v")).collect()] == ["BUILD", "N/A", "STANCE"]
     assert df.select(M.weighted_score({"dis": 0.5, "col": 0.5}).alias("s")).first().s == 100.0
+
+
+def test_every_row_is_scored_out_of_fold(spark):
+    rows = [(i, [i % 7 / 7.0, i % 3 / 3.0], [0.6, 0.3, 0.1] if i % 2 else [0.1, 0.2, 0.7]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, dist array<double>").coalesce(1).cache()
+    got = learn.out_of_fold(df, "id", "x", "dist", 3, ("hard", "soft"), seeds=2).collect()
+    assert sorted((r.id, r.seed, r.target) for r in got) == sorted((i, s, t) for i in range(80) for s in range(2) for t in ("hard", "soft"))
+    data = learn.fold(df, "id", 1)
+    want = {r.id: r.p for r in learn.predict(data.where("fold <> 3"), data.where("fold = 3"), "x", "dist", "soft", 3).collect()}
+    assert want == {r.id: pytest.approx(r.p) for r in got if (r.seed, r.fold, r.target) == (1, 3, "soft")}
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the sample tables")
+def test_soft_labels_score_every_fact(spark):
+    facts = studies.distributions(spark, SF).count()
+    rows = QUERIES["X5_soft_labels"](spark, SF).collect()
+    assert {r.target: r.n for r in rows} == dict.fromkeys(learn.TARGETS, facts) and all(0 < r.jsd < 1 for r in rows)
