@@ -176,17 +176,21 @@ class RangeRollup:
         return inner.unionByName(outer).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
-def prefix_sums(df: DataFrame, order: str, value: str, block: int) -> DataFrame:
-    """(block, upto, total): sums of blocks of ``order`` and of all blocks before. Only the blocks' own table is ordered."""
+def prefix_sums(df: DataFrame, order: str, value: str, block: int, also: DataFrame | None = None) -> DataFrame:
+    """(block, upto, total): sums of blocks of ``order`` and of all blocks before. Only the blocks' own table is ordered.
+
+    Blocks in ``also`` (block) that hold no rows get a row too, of total 0.
+    """
     sums = df.groupBy(F.floor(F.col(order) / block).alias("block")).agg(F.sum(value).alias("total"))
+    if also is not None:
+        sums = sums.unionByName(also.select("block").distinct().join(sums, "block", "left_anti").withColumn("total", F.lit(0)))
     upto = F.coalesce(F.sum("total").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return sums.select("block", upto.alias("upto"), "total")
 
 
 def batch_range_sums(df: DataFrame, ranges: DataFrame, order: str, value: str, block: int) -> DataFrame:
-    """(query, total) of half-open block-aligned ranges (query, lo, hi): two equi-joins with the prefix sums."""
-    prefix = prefix_sums(df, order, value, block).select(F.col("block").alias("b"), "upto")
-    end = df.agg((F.floor(F.max(order) / block) + 1).alias("b"), F.sum(value).alias("upto"))
-    prefix = prefix.unionByName(end)
-    out = ranges.join(prefix.select(F.col("b").alias("lo"), F.col("upto").alias("u_lo")), "lo").join(prefix.select(F.col("b").alias("hi"), F.col("upto").alias("u_hi")), "hi")
+    """(query, total) of half-open block-aligned ranges (query, lo, hi): two equi-joins with the prefix sums, of which every bound has one."""
+    bounds = ranges.select(F.explode(F.array("lo", "hi")).alias("block")).where("block is not null")
+    prefix = prefix_sums(df, order, value, block, bounds)
+    out = ranges.join(prefix.select(F.col("block").alias("lo"), F.col("upto").alias("u_lo")), "lo").join(prefix.select(F.col("block").alias("hi"), F.col("upto").alias("u_hi")), "hi")
     return out.select("query", (F.col("u_hi") - F.col("u_lo")).alias("total"))

@@ -54,3 +54,8 @@ def test_every_event_is_looked_up(spark):
     got = entry.queries()["J5_id_index_join_all"](spark, SF).agg({"n": "sum"}).first()[0]
     assert got == spark.read.parquet(f"{SF}/events.parquet").count()
     test_query_equals_sql(spark, "J5_id_index_join_all")
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the sample tables")
+def test_batch_ranges_equal_sql(spark):
+    test_query_equals_sql(spark, "J9_batch_range_sums")

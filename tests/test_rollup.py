@@ -90,3 +90,11 @@ def test_prefix_sums_and_batches(spark, log):
     q = spark.createDataFrame([(0, 0, 10), (1, 3, 4), (2, 5, 32)], "query int, lo long, hi long")
     got = {r.query: r.total for r in R.batch_range_sums(df, q, "id", "v", 32).collect()}
     assert got == {i: float(sum(x % 7 for x in range(lo * 32, min(hi * 32, 1000)))) for i, lo, hi in ((0, 0, 10), (1, 3, 4), (2, 5, 32))}
+
+
+def test_batches_over_gaps_and_past_the_end(spark):
+    ids = [x for x in range(1000) if not 200 <= x < 600]
+    df = spark.createDataFrame([(x, float(x % 7)) for x in ids], "id long, v double")
+    asked = [(0, 0, 10), (1, 8, 17), (2, 10, 12), (3, 12, 100), (4, 40, 90), (5, -3, 2)]
+    got = {r.query: r.total for r in R.batch_range_sums(df, spark.createDataFrame(asked, "query int, lo long, hi long"), "id", "v", 32).collect()}
+    assert got == {i: float(sum(x % 7 for x in ids if lo * 32 <= x < hi * 32)) for i, lo, hi in asked}
