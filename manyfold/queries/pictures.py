@@ -168,6 +168,15 @@ def _(spark, sf):
     return Q.seeks(Q.placed(blocks, "nth", "size", 4096).where("nth % 100 < 7"))
 
 
+@query("W7_seeks_by_type", """WITH b AS (SELECT event_id AS nth, event_type, strlen(props) AS size, sum(strlen(props)) OVER (ORDER BY event_id) - strlen(props) AS off FROM events), r AS (SELECT * FROM b WHERE event_type = 'error'),
+x AS (SELECT *, lag(off + size) OVER (ORDER BY off) AS before FROM r) SELECT count(*) FILTER (before IS NULL OR before <> off) AS seeks, sum(size)::BIGINT AS bytes FROM x""")
+def _(spark, sf):
+    from manyfold.operators import ranges_read as Q
+
+    blocks = table(spark, sf, "events").select(F.col("event_id").alias("nth"), "event_type", F.octet_length("props").alias("size"))
+    return Q.seeks(Q.placed(blocks, "nth", "size", 4096).where("event_type = 'error'"))
+
+
 @query("A28_psnr", "WITH " + px_sql("noise") + " SELECT round(10 * log10(65025 / avg(pow(v - least(255, v + y % 5), 2))), 6) AS psnr FROM px")
 def _(spark, sf):
     px = one(spark, "noise")

@@ -59,3 +59,12 @@ def test_every_event_is_looked_up(spark):
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the sample tables")
 def test_batch_ranges_equal_sql(spark):
     test_query_equals_sql(spark, "J9_batch_range_sums")
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the sample tables")
+def test_seeks_of_all_errors(spark):
+    from pyspark.sql import functions as F
+
+    errors = spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'error'")
+    assert entry.queries()["W7_seeks_by_type"](spark, SF).first().bytes == errors.agg(F.sum(F.octet_length("props"))).first()[0] > 0
+    test_query_equals_sql(spark, "W7_seeks_by_type")
