@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from manyfold.llm.common import cut, table
+from manyfold.llm.common import cut, nested, spread_join, table
 
 BITS = 1 << 23
 PREFIX = 256
@@ -49,7 +49,9 @@ def _survives(rows: DataFrame, key: list[Column], seen: DataFrame, bits: int, al
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, bits: int = BITS, digest_all: bool = False) -> DataFrame:
-    """(id, n_bytes, prefix_hash, sha256) per row, null where an earlier level already told the row apart.
+    """(doc_id, nth, n_bytes, prefix_hash, survivor, sha256) per row, null where an earlier level already told the row apart.
+
+    nth is a number of the row's own, so that rows alike in everything can be told apart; read it from a cut table only.
 
     A null text counts as empty. With ``digest_all`` every row has its SHA-256, for callers
     that report it; the levels are the same.
@@ -62,44 +64,60 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
     seen = cut(_repeated(headed.where("_same_size").select("n_bytes", "prefix_hash"), ["n_bytes", "prefix_hash"], bits))
     left = _survives(headed, [F.col("n_bytes"), F.col("prefix_hash")], seen, bits, F.col("_same_size"), "survivor")
     digest = F.sha2(F.col("_text").cast("binary"), 256)
-    return left.select("doc_id", "n_bytes", "prefix_hash", "survivor", (digest if digest_all else F.when(F.col("survivor"), digest)).alias("sha256"))
+    return left.select("doc_id", F.monotonically_increasing_id().alias("nth"), "n_bytes", "prefix_hash", "survivor", (digest if digest_all else F.when(F.col("survivor"), digest)).alias("sha256"))
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, bits: int = BITS, digest_all: bool = False) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, sha256.
 
     Texts are equal when their code points are; null counts as empty. The largest id of
-    a group stays. Rows that repeat both id and text count singly in group_size and are
-    kept or dropped together; a null id stays only in a group without any other id.
+    a group stays; of rows that repeat both id and text any one is kept, and all count in
+    group_size. A null id stays only in a group without any other id.
     An empty table gives no rows. Other columns of ``df`` are ignored.
     """
     rows = cut(signatures(df, id_col, text_col, prefix, bits, digest_all))
     key = ["n_bytes", "prefix_hash", "sha256"]
-    # a table of its own, so that the join may split a hot group when it is read
-    groups = cut(rows.where("survivor").groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("doc_id").alias("_keep")).where("_n > 1"))
-    out = rows.join(groups, key, "left")
-    keep = F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "sha256")
-
-
-def without(df: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose id isn't among ``dropped``'s (_dropped), with their columns; a null id is an id.
-
-    Rows that a bitmap of the dropped ids clears pass straight through; only the others, few more than are dropped, are
-    shuffled for the join that decides. Should the bitmap fill up, all of them are.
+    stays = F.max(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "nth"))
+    alike = rows.where("survivor")
+    groups = cut(alike.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), stays.alias("_keep")).where("_n > 1"))
+    out = rows.where("not survivor").unionByName(spread_join(alike, groups, key, "_n"), allowMissingColumns=True)
+    alone = F.col("_n").isNull()
+    kept = alone | (F.col("nth") == F.col("_keep.nth"))
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("_keep.doc_id")).alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "sha256")
+
+
+def keep_rows(df: DataFrame, decided: DataFrame, key_of, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` that stay, with their columns.
+
+    decided: (doc_id, key, kept) for every row of ``df``. key_of gives, of a table with the columns row (``df``'s, in a struct) and
+    doc_id, the same with the column key. An id that a single row has decides by itself. Of rows that share an id those
+    stay whose key is kept, and of rows with the same id and key one: that of the least hash of all its columns, as JSON.
+    Rows that a bitmap of the ids in question clears pass straight through; only the others are shuffled for
+    the join that decides. Should the bitmap fill up, all of them are.
     """
-    dropped = cut(dropped)
-    seen = cut(bitmap_of(dropped, ["_dropped"]))
-    marked = in_bitmap(df, [F.col(f"`{id_col}`").cast("long")], seen, name="_maybe")
-    doubtful = marked.where("_maybe").drop("_maybe")
-    stays = doubtful.join(dropped, doubtful[f"`{id_col}`"].eqNullSafe(dropped["_dropped"]), "left_anti")
-    return marked.where("not _maybe").drop("_maybe").unionByName(stays)
+    ids = cut(decided.groupBy(F.col("doc_id").alias("_id")).agg((F.count(F.lit(1)) > 1).alias("_again"), F.max("kept").alias("_kept")).where("_again or not _kept").drop("_kept"))
+    seen = cut(bitmap_of(ids, ["_id"]))
+    marked = in_bitmap(nested(df, F.col(f"`{id_col}`").cast("long").alias("doc_id")), [F.col("doc_id")], seen)
+    doubtful = marked.where("_found").select("row", "doc_id").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    out = marked.where("not _found").select("row.*").unionByName(doubtful.where("_again is null").select("row.*"))
+    again = cut(ids.where("_again"))
+    if not again.take(1):
+        return out
+    lost = decided.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").groupBy("doc_id", "key").agg(F.max("kept").alias("_kept")).where("not _kept")
+    lost = cut(lost.select(F.col("doc_id").alias("_lost"), F.col("key").alias("_key")))
+    rivals = key_of(doubtful.where("_again").select("row", "doc_id"))
+    rivals = rivals.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost")) & (F.col("key") == F.col("_key")), "left_anti")
+    return out.unionByName(rivals.groupBy("doc_id", "key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*"))
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with their columns; ids must tell rows apart."""
-    groups = exact_groups(df, id_col, text_col)
-    return without(df, id_col, groups.where("not kept").select(F.col("doc_id").cast("long").alias("_dropped")))
+    """The rows of ``df`` that stay, with their columns: one of each text, by the rules of exact_groups.
+
+    Rows are told apart by id and text, so ids may repeat: of (5, a), (5, b) and (9, a), (5, b) and (9, a) stay. Of rows that repeat
+    id and text one stays. Columns may have any names.
+    """
+    groups = cut(exact_groups(df, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("sha256").alias("key"), "kept"))
+    return keep_rows(df, groups, lambda rows: rows.withColumn("key", F.sha2(F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")).cast("binary"), 256)), id_col)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
@@ -109,7 +127,7 @@ def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
 ORACLE = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
        count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 """

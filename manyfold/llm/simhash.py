@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from manyfold.llm.common import cut, id_text, slices, table
-from manyfold.llm.exact_dedup import without
+from manyfold.llm.common import cut, id_text, slices, spread_join, table
+from manyfold.llm.exact_dedup import keep_rows
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 BLOCKS = 6
 #: Fingerprints of one group beyond which it is divided by its free bits.
 LARGE = 4096
 FANOUT, LEAF = 8, 8
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def fingerprint(text: str, width: int = SHINGLE) -> int:
@@ -256,26 +256,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, large: int = LARGE) -> DataFrame:
-    """(doc_id, fp, component_id) per row: the smallest id reachable by links of RADIUS differing bits at most.
+    """(doc_id, fp, component_id, kept) per row: the smallest id reachable by links of RADIUS differing bits at most, and whether the row is the one that stays.
 
     Equal fingerprints, those of empty texts among them, are linked like any other. Repeated
-    rows and ids give a row each; a null id never names a component unless nothing else is in it;
-    an empty table gives no rows; other columns are ignored.
+    rows and ids give a row each, and of a component's rows of the smallest id any one is kept; a null id never names a component unless nothing
+    else is in it; an empty table gives no rows; other columns are ignored.
     """
-    rows = cut(fingerprints(df, id_col, text_col, width))
-    values = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    rows = cut(fingerprints(df, id_col, text_col, width).withColumn("nth", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "nth"))
+    values = cut(rows.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n")))
     tree = cut(components(links(values.select("fp"), large)))
     # each side of a join is a table of its own, so that a hot key can be split when it is read
-    grown = cut(values.join(tree, values["fp"] == tree["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = cut(grown.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = cut(grown.select("fp", "root").join(least, "root").select(F.col("fp").alias("_fp"), "component_id"))
-    return rows.join(named, rows["fp"] == named["_fp"], "left").select("doc_id", "fp", "component_id")
+    grown = cut(values.join(tree, values["fp"] == tree["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    least = cut(grown.groupBy("root").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("size")))
+    named = cut(spread_join(grown.select("fp", "n", "root"), least, ["root"], "size", "inner").select("fp", "n", "head"))
+    out = spread_join(rows, named, ["fp"], "n", "inner")
+    return out.select("doc_id", "fp", F.col("head.doc_id").alias("component_id"), (F.col("nth") == F.col("head.nth")).alias("kept"))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, one per component: the one of the smallest id; ids must tell rows apart."""
-    found = near_groups(df, id_col, text_col)
-    return without(df, id_col, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped")))
+    """The rows of ``df`` that stay, one per component: the one of the smallest id. Rows are told apart by id and fingerprint,
+    so ids may repeat; columns may have any names."""
+    found = cut(near_groups(df, id_col, text_col).select("doc_id", F.col("fp").alias("key"), "kept"))
+
+    def key_of(rows: DataFrame) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                fps = np.array([fingerprint(t or "") for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["row", "doc_id", "key"])
+
+        texts = rows.select("row", "doc_id", F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")).alias("text"))
+        return texts.mapInArrow(run, rows.withColumn("key", F.lit(0).cast("long")).schema)
+
+    return keep_rows(df, found, key_of, id_col)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

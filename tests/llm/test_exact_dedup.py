@@ -36,3 +36,25 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert X.exact_groups(df).count() == 0
     assert X.exact_dedup(df).count() == 0
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    schema = "doc_id long, text string, row string, _id long, _again boolean, _found string, key int, `_bitmap` string, nth long"
+    given = [(5, "a"), (5, "b"), (9, "a"), (7, "c"), (7, "c"), (7, "d"), (None, "e"), (None, "e"), (None, "f"), (3, None), (4, ""), (1, "z" * 300)]
+    df = spark.createDataFrame([(i, t, f"r{n}", n, None, "f", n, "b", -n) for n, (i, t) in enumerate(given)], schema)
+    out = X.exact_dedup(df)
+    assert out.dtypes == df.dtypes
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(5, "b"), (9, "a"), (7, "c"), (7, "d"), (None, "e"), (None, "f"), (4, ""), (1, "z" * 300)], key=str)
+    full = {tuple(r) for r in df.collect()}
+    assert all(tuple(r) in full for r in out.collect())  # whole rows, other columns as they were
+    groups = X.exact_groups(df).collect()
+    assert sum(r.kept for r in groups) == len({t or "" for _, t in given})
+    assert sorted(r.kept for r in groups if r.doc_id == 7) == [False, True, True]
+    assert X.exact_dedup(df.limit(0)).count() == 0
+
+
+def test_hot_group_is_joined_whole(spark):
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"t{i // 6}") for i in range(3000)], "doc_id long, text string")
+    got = X.exact_groups(df).collect()
+    assert len(got) == 3000 and sum(r.kept for r in got) == 1 + 500
+    assert {(r.keep_id, r.group_size) for r in got if r.doc_id % 3} == {(2999, 2000)}

@@ -97,3 +97,15 @@ def test_documents(spark):
     kept = {r.doc_id for r in S.near_dedup(df).collect()}
     assert kept == {i for i, (_, c) in got.items() if i == c}
     assert S.near_groups(df.limit(0)).count() == 0
+
+
+def test_rows_are_told_apart_by_id_and_fingerprint(spark):
+    one, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    given = [(5, one), (5, other), (9, one), (7, "c d e f"), (7, "c d e f"), (2, other), (None, "q r s"), (8, None), (8, "")]
+    df = spark.createDataFrame([(i, t, n, None, n) for n, (i, t) in enumerate(given)], "doc_id long, text string, row int, _id long, key int")
+    out = S.near_dedup(df)
+    assert out.dtypes == df.dtypes
+    got = sorted(((r.doc_id, r.text or "") for r in out.collect()), key=str)
+    assert got == sorted([(5, one), (2, other), (7, "c d e f"), (None, "q r s"), (8, "")], key=str)
+    assert sum(r.kept for r in S.near_groups(df).collect()) == 5
+    assert S.near_dedup(df.limit(0)).count() == 0
