@@ -4,17 +4,23 @@ Each task keeps one in-process DuckDB holding the merge table, made once from th
 file. The distinct words of a slice of texts become rows (word, position, token); a
 recursive query joins neighbouring tokens with the merge table, contracts the leftmost
 pair of least rank in every word at once, and goes on with the words that still changed.
-Decoding joins ids with the vocabulary and aggregates their bytes in order of position.
+Decoding joins the ids of documents with the vocabulary and aggregates their bytes in order of position.
+
+The query passes over a word once for each merge. So that a long word doesn't cost the square of
+its length, it is contracted as overlapping windows, words like any other, which are joined where both hold
+the same token at the same place. That is exact: a sequence of tokens is the contraction
+of its bytes if and only if each two neighbours are the contraction of theirs, since the first merge across
+a boundary would also be the first between those two alone; and each two neighbours of the joined sequence stand in
+one of the windows. Windows without such a token are contracted again as one.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +28,12 @@ from pyspark.sql import DataFrame
 
 from manyfold.llm.common import id_text, slices, table
 
-#: Bytes of text that are worked on together, and words that a worker remembers between slices.
-SLICE_CHARS, MEMO = 4_000_000, 250_000
-#: Words of more bytes than this are contracted with a heap: the recursive query passes over a
-#: word once for each merge, so its work grows with the square of the length.
-LONG_WORD = 400
+#: Bytes of text that are worked on together; words of a text that are held at once; words that a worker remembers between slices.
+SLICE_CHARS, WORDS, MEMO = 1_000_000, 200_000, 120_000
+#: Bytes of a window of a long word, and how far one begins after the other; words up to WINDOW are whole.
+WINDOW, STEP = 256, 128
+#: Rows that the states of one recursive query may take together, and ids of one decoding query.
+STATES, IDS = 3_000_000, 500_000
 
 # The letters, numbers and white space of code points below 256.
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
@@ -64,16 +71,17 @@ class Codec:
         import public_tokenizers
         import regex
 
-        self.ranks = ranks
         self.wide = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s", r"\p{White_Space}"))
         self.usual = pattern == public_tokenizers.PATTERN
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size[list(ranks.values())] = [len(t) for t in ranks]
         splits = [(ranks[token[:i]], ranks[token[i:]], rank) for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False})
         left, right, made = zip(*splits, strict=True) if splits else ((), (), ())
         self._table("merges", {"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "made": pa.array(made, pa.int32())})
         self._table("vocab", {"t": pa.array(ranks.values(), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.memo: dict[str, bytes] = {}
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("_given", pa.table(columns))
@@ -88,97 +96,150 @@ class Codec:
             self.db.unregister(name)
         return out
 
-    def words(self, text: str) -> list[str]:
-        """What the pattern finds, in order; together they are the text."""
+    def words(self, text: str) -> Iterator[list[str]]:
+        """What the pattern finds, in order, some WORDS at a time; together they are the text."""
+        pattern = self.wide
         if self.usual:
             try:
                 text.encode("latin-1")
-                return NARROW.findall(text)
+                pattern = NARROW
             except UnicodeEncodeError:
                 pass
-        return self.wide.findall(text)
-
-    def _by_heap(self, word: bytes) -> list[int]:
-        """The same contraction of one long word, in n log n steps."""
-        ranks, n = self.ranks, len(word)
-        end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        rank = lambda i: ranks.get(word[i : end[end[i]]]) if end[i] < n else None
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, stop = heapq.heappop(heap)
-            if not alive[i] or end[i] >= n or end[end[i]] != stop or rank(i) != r:
-                continue
-            alive[end[i]] = False
-            end[i] = stop
-            if stop < n:
-                before[stop] = i
-            for j in (before[i], i):
-                if j >= 0 and (r := rank(j)) is not None:
-                    heapq.heappush(heap, (r, j, end[end[j]]))
-        return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
-
-    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after another, and how many ids each word has."""
-        short = [k for k, w in enumerate(words) if len(w) <= LONG_WORD]
-        size = np.array([len(words[k]) for k in short], np.int64)
-        raw = np.frombuffer(b"".join(words[k] for k in short), np.uint8)
-        w = np.repeat(np.arange(len(short), dtype=np.int32), size)
-        p = (np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        out = self._ask(CONTRACT, start={"w": w, "p": p, "t": self.byte[raw]})
-        ids, counts = out["t"].to_numpy(), np.bincount(out["w"].to_numpy(), minlength=len(short))
-        if len(short) == len(words):
-            return ids, counts
-        parts, at = dict(zip(short, np.split(ids, np.cumsum(counts)[:-1]), strict=True)), []
-        for k, word in enumerate(words):
-            at.append(parts[k] if k in parts else np.array(self._by_heap(word), np.int32))
-        return np.concatenate(at), np.array([len(x) for x in at])
-
-    def expand(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
-        """The bytes of each run of ids; ids outside the vocabulary stand for nothing."""
-        ids, counts = np.asarray(ids, np.int32), np.asarray(counts, np.int64)
-        d = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        got = self._ask(DECODE, ids={"d": d, "p": np.arange(len(ids), dtype=np.int64), "t": ids})
-        out = [b""] * len(counts)
-        for i, text in zip(got["d"].to_pylist(), got["bytes"].to_pylist(), strict=True):
-            out[i] = text.encode("latin-1")
+        if len(text) <= SLICE_CHARS:
+            yield pattern.findall(text)
+            return
+        found = (m.group() for m in pattern.finditer(text))
+        while part := list(islice(found, WORDS)):
+            yield part
+
+    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word by the recursive query, words of like lengths together."""
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+        size = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(size, kind="stable")
+        load = np.cumsum(size[order] ** 2 // 2 + 1) // STATES
+        for part in np.split(order, np.flatnonzero(np.diff(load)) + 1) if len(words) else ():
+            n = size[part]
+            raw = np.frombuffer(b"".join([words[k] for k in part.tolist()]), np.uint8)
+            w = np.repeat(np.arange(len(part), dtype=np.int32), n)
+            p = (np.arange(len(raw)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            got = self._ask(CONTRACT, start={"w": w, "p": p, "t": self.byte[raw]})
+            counts = np.bincount(got["w"].to_numpy(), minlength=len(part))
+            ids, stops = got["t"].to_numpy().astype("<u4"), np.cumsum(counts)
+            for k, stop, count in zip(part.tolist(), stops.tolist(), counts.tolist(), strict=True):
+                out[k] = ids[stop - count : stop]
         return out
 
-    def _learn(self, missing: list[str]) -> None:
-        """Ids and, decoded from them, bytes of words that are not remembered."""
-        ids, counts = self.contract([w.encode() for w in missing])
-        stops, raw, back = np.cumsum(counts).tolist(), ids.astype("<u4").tobytes(), self.expand(ids, counts)
-        for word, stop, count, own in zip(missing, stops, counts.tolist(), back, strict=True):
-            self.memo[word] = (raw[4 * (stop - count) : 4 * stop], own)
-
-    def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Per text, its ids as little-endian unsigned 32-bit integers, and the bytes decoded from them."""
-        found = [self.words(t) for t in texts]
-        missing = set(chain.from_iterable(found)).difference(self.memo)
+    def contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word."""
+        spans = [(k, a, min(len(w), a + WINDOW)) for k, w in enumerate(words) for a in (range(0, max(1, len(w) - WINDOW + STEP), STEP) if len(w) > WINDOW else (0,))]
+        done: dict[int, list] = {}
+        for (k, a, b), ids in zip(spans, self._contract([words[k][a:b] for k, a, b in spans]), strict=True):
+            done.setdefault(k, []).append((a, b, ids))
+        long = [k for k, parts in done.items() if len(parts) > 1]
+        while long:
+            again = []
+            for k in long:
+                done[k] = self._join(done[k])
+                again += [(k, i) for i, part in enumerate(done[k]) if part[2] is None]
+            fresh = self._contract([words[k][done[k][i][0] : done[k][i][1]] for k, i in again])
+            for (k, i), ids in zip(again, fresh, strict=True):
+                done[k][i] = (*done[k][i][:2], ids)
+            long = [k for k in long if len(done[k]) > 1]
+        return [done[k][0][2] for k in range(len(words))]
+
+    def _join(self, parts: list[tuple]) -> list[tuple]:
+        """Neighbouring windows (from, to, ids) joined at a token that both hold; where there is none they become one without ids."""
+        out = [parts[0]]
+        for a, b, ids in parts[1:]:
+            left, upto, before = out[-1]
+            if before is not None and out[-1][2] is not None:
+                stop = left + np.cumsum(self.size[before])
+                other = a + np.cumsum(self.size[ids])
+                _, i, j = np.intersect1d(stop, other, return_indices=True)
+                same = np.flatnonzero(before[i] == ids[j])
+                if len(same):
+                    at = same[len(same) // 2]
+                    out[-1] = (left, b, np.concatenate([before[: i[at] + 1], ids[j[at] + 1 :]]))
+                    continue
+                out[-1] = (left, b, None)
+            else:
+                out.append((a, b, ids))
+        return out
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Per text, its ids as little-endian unsigned 32-bit integers."""
+        out, held, count = [bytearray() for _ in texts], [], 0
+        for i, text in enumerate(texts):
+            for part in self.words(text):
+                held.append((i, part))
+                count += len(part)
+                if count >= WORDS:
+                    self._encode(held, out)
+                    held, count = [], 0
+        self._encode(held, out)
+        return [bytes(x) for x in out]
+
+    def _encode(self, held: list[tuple[int, list[str]]], out: list[bytearray]) -> None:
+        every: set[str] = set()
+        for _, part in held:
+            every.update(part)
+        missing = sorted(every.difference(self.memo))
         if len(self.memo) + len(missing) > MEMO:
             self.memo.clear()
-            missing = set(chain.from_iterable(found))
-        if missing:
-            self._learn(sorted(missing))
-        for words in found:
-            both = [self.memo[w] for w in words]
-            yield b"".join([x[0] for x in both]), b"".join([x[1] for x in both])
+            missing = sorted(every)
+        fresh = dict(zip(missing, (x.tobytes() for x in self.contract([w.encode() for w in missing])), strict=True))
+        known = self.memo
+        known.update(fresh)
+        for i, part in held:
+            out[i] += b"".join([known[w] for w in part])
+        for w in fresh:
+            if len(w) > WINDOW:  # a few long words could outweigh all others
+                del known[w]
+
+    def expand(self, raw: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        """(i, bytes) of runs of ids, some IDS at a time and in order; ids outside the vocabulary stand for nothing."""
+        runs = ((i, x[at : at + 4 * IDS]) for i, x in enumerate(raw) for at in range(0, len(x), 4 * IDS))
+        held, count = [], 0
+        for run in runs:
+            if held and count + len(run[1]) > 4 * IDS:
+                yield from self._expand(held)
+                held, count = [], 0
+            held.append(run)
+            count += len(run[1])
+        if held:
+            yield from self._expand(held)
+
+    def _expand(self, held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        ids = np.frombuffer(b"".join([x for _, x in held]), "<i4")
+        d = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) // 4 for _, x in held])
+        got = self._ask(DECODE, ids={"d": d, "p": np.arange(len(ids), dtype=np.int32), "t": ids})
+        for k, text in zip(got["d"].to_pylist(), got["bytes"], strict=True):
+            yield held[k][0], text.as_py().encode("latin-1")
 
 
 _codecs: dict[tuple, Codec] = {}
 
 
-def _codec(ranks: dict[bytes, int], pattern: str) -> Codec:
-    key = (len(ranks), hash(frozenset(list(ranks.items())[:: max(1, len(ranks) // 1000)])), pattern)
+def _codec(shared: tuple[str, dict[bytes, int]], pattern: str) -> Codec:
+    """This worker's codec of a rank file, known by the file's digest, and a pattern; it holds one at a time."""
+    key = (shared[0], pattern)
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(ranks, pattern)
+        _codecs[key] = Codec(shared[1], pattern)
     return _codecs[key]
 
 
 def _shared(df: DataFrame, path: str):
-    """The ranks, broadcast: their size is the vocabulary's, whatever the corpus holds."""
-    return df.sparkSession.sparkContext.broadcast(load_ranks(path))
+    """The file's digest and ranks, broadcast: their size is the vocabulary's, whatever the corpus holds."""
+    with open(path, "rb") as f:
+        digest = sha256(f.read()).hexdigest()
+    return df.sparkSession.sparkContext.broadcast((digest, load_ranks(path)))
+
+
+def _lists(raw: list[bytes]) -> pa.Array:
+    stops = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])])
+    return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4"), pa.int32()))
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,10 +253,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
         for ids, texts in slices(batches, SLICE_CHARS):
-            got = [np.frombuffer(raw, "<u4").astype(np.int32) for raw, _ in codec.encode_batch(texts)]
-            stops = np.concatenate([[0], np.cumsum([len(x) for x in got])])
-            tokens = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(got), pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), tokens], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(codec.encode_batch(texts))], ["doc_id", "ids"])
 
     return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -207,34 +265,36 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                lists = [np.array([t for t in x or [] if t is not None], np.int32) for x in part.column(1).to_pylist()]
-                out = codec.expand(np.concatenate([np.zeros(0, np.int32), *lists]), np.array([len(x) for x in lists]))
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                out = [b""] * part.num_rows
+                for i, text in codec.expand([(x.values.drop_null().to_numpy().astype("<i4").tobytes() if x.is_valid else b"") for x in part.column(1)]):
+                    out[i] += text
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
     return df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{ids_col}` as array<int>) ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Encodes, decodes and returns digests: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes; the ids too if asked for.
+    """Encodes, decodes the ids and returns digests: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes; the ids too if asked for.
 
-    What encode() and decode() do, without carrying the ids between them: the decoded bytes
-    are those of each word's ids, in order. Null counts as empty.
+    What encode() and decode() do, without shipping the ids between them. Null counts as empty; repeated rows and ids give a row
+    each; other columns are ignored.
     """
     ranks = _shared(df, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
         for ids, texts in slices(batches, SLICE_CHARS):
-            tokens, rows = [], []
-            for raw, back in codec.encode_batch(texts):
-                rows.append((len(raw) // 4, sha256(raw).hexdigest(), sha256(back).hexdigest(), len(back)))
-                tokens.append(np.frombuffer(raw, "<i4") if with_ids else None)
-            columns = [pa.array(ids, pa.int64()), *(pa.array(x) for x in zip(*rows, strict=True))]
+            raw = codec.encode_batch(texts)
+            digests, sizes = [sha256() for _ in texts], [0] * len(texts)
+            for i, part in codec.expand(raw):
+                digests[i].update(part)
+                sizes[i] += len(part)
+            columns = [pa.array(ids, pa.int64()), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([sha256(x).hexdigest() for x in raw], pa.string())]
+            columns += [pa.array([d.hexdigest() for d in digests], pa.string()), pa.array(sizes, pa.int64())]
             if with_ids:
-                stops = np.concatenate([[0], np.cumsum([len(x) for x in tokens])])
-                columns.append(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(tokens), pa.int32())))
+                columns.append(_lists(raw))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "ids"][: len(columns)])
 
     return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long" + ", ids array<int>" * with_ids)
