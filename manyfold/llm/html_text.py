@@ -2,13 +2,15 @@
 
 Paragraphs pass points for their length and commas to their ancestors, discounted by the
 share of text in links; the container with the most points and the siblings that look
-like it are kept, without the parts that are no article by their tag, role or name.
+like it are kept, without the parts that are no article by their tag, role or name. Points decide about names as
+well: a part with a name that may mean anything, as header does, stays if it holds half of all points.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -17,88 +19,176 @@ from pyspark.sql import functions as F
 
 from manyfold.llm.common import slices, table
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTE_OR_END = re.compile(r"""[>"']""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object canvas audio video select".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+HEAD = frozenset("base link meta noscript script style template title".split())
 #: What an opening tag ends, up to the elements that stop the search.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPE = frozenset("html body table td th caption button".split())
 
 DROPPED_TAGS = frozenset("nav header footer aside form button fieldset head dialog menu".split()) | RAW
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adsbygoogle|banners?|sponsor(?:ed|s)?|promo(?:tion)?s?|nav(?:bar|igation)?|menus?|breadcrumbs?|header|masthead|footer|side-?bars?|aside|cookies?|consent|gdpr|notices?|notifications?|popups?|modals?|overlay|newsletter|subscribe|signup|comments?|commentlist|disqus|respond|repl(?:y|ies)|shar(?:e|ing)|social|related|recommend(?:ed|ations)?|widgets?|pagination|pager|toolbar|login|search)(?=$|[\s_\d-])",
-    re.I,
-)
+_NAME = r"(?:^|[\s_-])(?:%s)(?=$|[\s_\d-])"
+#: Names of what is no article wherever it stands.
+FOREIGN = re.compile(_NAME % r"ads?|adverts?|advertisements?|advertising|adsense|adsbygoogle|sponsor(?:ed|s)?|promo(?:tion)?s?|nav(?:bar|igation)?|breadcrumbs?|side-?bars?|cookies?|consent|gdpr|newsletter|subscribe|signup|comments?|commentlist|disqus|shar(?:e|ing)|social|pagination|pager|login", re.I)
+#: Names that can also mean a part of the article: they count on containers only, and only if these don't hold half of all points.
+DOUBTFUL = re.compile(_NAME % r"banners?|menus?|header|masthead|footer|aside|notices?|notifications?|popups?|modals?|overlay|respond|repl(?:y|ies)|related|recommend(?:ed|ations)?|widgets?|toolbar|search", re.I)
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th tr tbody caption figcaption".split())
 #: Names that say how a page is laid out, not what an element is: with-sidebar is no sidebar.
 MODIFIER = re.compile(r"^(?:has|with|no|is|layout)[_-]", re.I)
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 GOOD_NAMES = re.compile(r"article|body|content|entry|hentry|main|page|post|text|blog|story", re.I)
 PARAGRAPHS = frozenset("p pre td blockquote section h2 h3 h4 h5 h6 div li".split())
 LEAST_PARAGRAPH = 25
+#: Ancestors that a paragraph's points go to, with their shares, and points for what a container is.
+SHARES = (1.0, 1 / 2, 1 / 6)
+NAMED, ARTICLE, BLOCK = 25, 25, 5
+#: Of the best score, what a sibling must reach, and what a name in common counts; texts in links that a lone paragraph may hold.
+ALIKE, SAME_NAME, LINKED = 0.2, 0.2, 0.25
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "parent", "children", "score", "size")
+    __slots__ = ("tag", "names", "role", "parent", "children", "dropped", "score", "earned", "chars", "linked", "commas", "direct", "points")
 
     def __init__(self, tag: str, names: str, role: str, parent: Node | None):
-        self.tag, self.names, self.role, self.parent, self.children, self.score, self.size = tag, names, role, parent, [], 0.0, (0, 0)
+        self.tag, self.names, self.role, self.parent, self.children, self.dropped = tag, names, role, parent, [], False
+        self.score, self.earned, self.points = 0.0, 0.0, 0.0
+        self.chars = self.linked = self.commas = self.direct = 0
 
 
-def _dropped(node: Node) -> bool:
+def _foreign(node: Node) -> bool:
     if node.tag in DROPPED_TAGS or node.role in DROPPED_ROLES:
         return True
-    return node.tag not in ("html", "body", "article", "main") and bool(node.names and DROPPED_NAMES.search(node.names))
+    return node.tag not in ("html", "body", "article", "main") and bool(node.names and FOREIGN.search(node.names))
+
+
+def _doubtful(node: Node) -> bool:
+    return bool(node.names) and node.tag not in TEXTUAL and node.tag in BLOCKS and node.tag not in ("html", "body", "article", "main") and bool(DOUBTFUL.search(node.names))
+
+
+class _Ends:
+    """Where tags end, in time that grows with the page whatever it holds."""
+
+    def __init__(self, source: str):
+        self.source, self.known, self.missing, self.plain = source, {}, set(), -2
+
+    def find(self, what: str, at: int) -> int:
+        """As str.find, but what isn't there is looked for once."""
+        if what in self.missing:
+            return -1
+        found = self.source.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def tag(self, at: int) -> int:
+        """The place of the tag's >, quoted ones left out if that leaves any; -1 if there is none."""
+        if self.plain != -1 and self.plain < at:
+            self.plain = self.source.find(">", at)
+        if self.plain < 0:
+            return -1
+        path, here = [], at
+        while True:
+            m = QUOTE_OR_END.search(self.source, here)
+            place = m.start() if m else -1
+            if place < 0 or place in self.known or m.group() == ">":
+                end = self.known.get(place, place)
+                break
+            path.append(place)
+            close = self.find(m.group(), place + 1)
+            here = close + 1 if close >= 0 else place + 1
+        for place in path:
+            self.known[place] = end
+        return end if end >= 0 else self.plain
 
 
 def parse(source: str) -> Node:
     """A tree of elements and strings; what isn't closed ends where its parent or its like begins."""
-    root = here = Node("html", "", "", None)
-    at, n = 0, len(source)
+    root = Node("html", "", "", None)
+    stack, ends, raw_missing = [root], _Ends(source), set()
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a tag
+    blocks = [0]  # places of the open elements that aren't inline
+    places["html"].append(0)
+
+    def close(upto: int) -> None:
+        while len(stack) > upto:
+            node = stack.pop()
+            places[node.tag].pop()
+            if node.tag in BLOCKS:
+                blocks.pop()
+
+    def close_like(tags: Iterable[str], stops: Iterable[str]) -> None:
+        own = max((places[t][-1] for t in tags if places[t]), default=-1)
+        if own > max((places[t][-1] for t in stops if places[t]), default=0):
+            close(own)
+
+    at, n, begun = 0, len(source), 0
     while at < n:
-        m = TOKEN.search(source, at)
-        if m is None:
-            here.children.append(source[at:])
+        here = source.find("<", at)
+        if here < 0 or here + 1 >= n:
+            break
+        sign = source[here + 1]
+        closing = sign == "/"
+        name = TAG_NAME.match(source, here + 1 + closing)
+        if name is None and sign not in "!?/":
+            at = here + 1
+            continue
+        if source.startswith("<!--", here):
+            end = ends.find("-->", here + 4)
+            end = n if end < 0 else end + 2
+        elif name is None:
+            end = ends.find(">", here)
+        else:
+            end = ends.tag(name.end())
+        if end < 0:  # no tag ends from here on
             break
-        if m.start() > at:
-            here.children.append(source[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
+        if here > begun:
+            stack[-1].children.append(source[begun:here])
+        at = begun = end + 1
         if name is None:
             continue
-        tag, closing = name.lower(), (m[1] or m[4]) == "/"
+        tag = name.group().lower()
         if closing:
             if tag == "br":
-                here.children.append(Node("br", "", "", here))
-                continue
-            node = here
-            while node is not None and node.tag != tag and not (tag in INLINE and node.tag not in INLINE):
-                node = node.parent
-            if node is not None and node.tag == tag and node.parent is not None:
-                here = node.parent
+                stack[-1].children.append(Node("br", "", "", stack[-1]))
+            elif places[tag] and places[tag][-1] and not (tag not in BLOCKS and blocks[-1] > places[tag][-1]):
+                close(places[tag][-1])
             continue
+        if places["head"] and tag not in HEAD:
+            close(places["head"][-1])
         if tag in ("html", "body"):
-            if tag == "body" and here is root:
-                here = _open(root, tag, m[3] or m[6] or "")
-            continue
-        if tag not in INLINE and tag not in VOID:
-            here = _close(here, {"p"}, SCOPE)
+            if tag == "html" or len(stack) > 1:
+                continue
+        elif tag in BLOCKS:
+            close_like(("p",), SCOPE)
         if tag in ENDS:
-            here = _close(here, *ENDS[tag])
-        attributes = m[3] or m[6] or ""
-        node = _open(here, tag, attributes)
+            close_like(*ENDS[tag])
+        attributes = source[name.end() : end]
+        node = _open(stack[-1], tag, attributes)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-            if end:
-                at = end.end()
-            elif tag in ("script", "style"):
-                at = n
-        elif tag not in VOID and not attributes.rstrip().endswith("/"):
-            here = node
+            if tag == "svg" and attributes.rstrip().endswith("/"):
+                continue
+            found = None if tag in raw_missing else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            if found:
+                at = begun = found.end()
+                continue
+            raw_missing.add(tag)
+            if tag in ("script", "style"):
+                begun = n
+                break
+        if tag not in VOID:
+            places[tag].append(len(stack))
+            if tag in BLOCKS:
+                blocks.append(len(stack))
+            stack.append(node)
+    if begun < n:
+        stack[-1].children.append(source[begun:])
     return root
 
 
@@ -118,17 +208,8 @@ def _open(parent: Node, tag: str, attributes: str) -> Node:
     return node
 
 
-def _close(here: Node, tags: set, stop: frozenset | set) -> Node:
-    node = here
-    while node is not None and node.tag not in stop:
-        if node.tag in tags:
-            return node.parent or node
-        node = node.parent
-    return here
-
-
-def _blocks(top: Node, keep_top: bool = False) -> list[str]:
-    """Texts of the blocks under ``top`` in page order, references decoded, white space made one space."""
+def _blocks(tops: list[Node]) -> list[str]:
+    """Texts of the blocks under ``tops`` in page order, references decoded, white space made one space."""
     out, now = [], []
 
     def flush() -> None:
@@ -138,109 +219,139 @@ def _blocks(top: Node, keep_top: bool = False) -> list[str]:
             if text:
                 out.append(text)
 
-    stack: list = [top]
-    while stack:
-        node = stack.pop()
-        if node is None:
-            flush()
-        elif isinstance(node, str):
-            now.append(node)
-        elif node.tag == "br":
-            now.append("\n")
-        elif node is top and keep_top or not _dropped(node):
-            if node.tag not in INLINE:
+    for top in tops:
+        stack: list = [top]
+        while stack:
+            node = stack.pop()
+            if node is None:
                 flush()
-                stack.append(None)
-            stack.extend(reversed(node.children))
-    flush()
+            elif isinstance(node, str):
+                now.append(node)
+            elif node.tag == "br":
+                now.append("\n")
+            elif node is top or not node.dropped:
+                if node.tag in BLOCKS:
+                    flush()
+                    stack.append(None)
+                stack.extend(reversed(node.children))
+        flush()
     return out
 
 
-def _score(root: Node) -> list[Node]:
-    """Gives points to the containers and returns them in page order; sizes come bottom-up."""
+def _kept(root: Node, dropped) -> list[Node]:
+    """The elements that ``dropped`` leaves, in page order; marks the others."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and not _dropped(c))
-    own: dict[int, list] = {}  # characters, characters in links, commas
+        for c in reversed(node.children):
+            if not isinstance(c, str):
+                c.dropped = dropped(c)
+                if not c.dropped:
+                    stack.append(c)
+    return order
+
+
+def _measure(order: list[Node]) -> None:
+    """Characters, those in links, commas, those in no inner block, and paragraphs' points, bottom up."""
     for node in reversed(order):
-        total = own.setdefault(id(node), [0, 0, 0, 0])
+        node.chars = node.linked = node.commas = node.direct = 0
+        node.points = 0.0
         for c in node.children:
             if isinstance(c, str):
-                n, commas = len(c.strip()), c.count(",")
-                total[0] += n
-                total[2] += commas
-                total[3] += n
-            elif id(c) in own:
-                got = own[id(c)]
-                total[0] += got[0]
-                total[1] += got[0] if c.tag == "a" else got[1]
-                total[2] += got[2]
-                total[3] += got[3] if c.tag in INLINE else 0
-    scored: dict[int, Node] = {}
+                n = len(c.strip())
+                node.chars += n
+                node.direct += n
+                node.commas += c.count(",")
+            elif not c.dropped:
+                node.chars += c.chars
+                node.linked += c.chars if c.tag == "a" else c.linked
+                node.commas += c.commas
+                node.direct += c.direct if c.tag not in BLOCKS else 0
+                node.points += c.points
+        if _is_paragraph(node):
+            node.points += _points(node)
+
+
+def _is_paragraph(node: Node) -> bool:
+    return node.tag in PARAGRAPHS and node.direct >= LEAST_PARAGRAPH
+
+
+def _points(node: Node) -> float:
+    return 1 + node.commas + min(node.chars / 100, 3)
+
+
+def _score(order: list[Node]) -> list[Node]:
+    """Gives points to the containers and returns them in page order."""
+    scored = set()
     for node in order:
-        chars, _, commas, direct = own[id(node)]
-        if node.tag in INLINE or node.tag not in PARAGRAPHS or direct < LEAST_PARAGRAPH:
+        if not _is_paragraph(node):
             continue
-        points, up, share = 1 + commas + min(chars / 100, 3), node.parent, 1.0
-        level = 0
-        while up is not None and level < 3:
-            if up.tag not in INLINE:
-                if id(up) not in scored:
-                    scored[id(up)] = up
-                    up.score += 25 * bool(up.names and GOOD_NAMES.search(up.names)) + 25 * (up.tag in ("article", "main") or up.role == "main") + 5 * (up.tag in ("div", "section"))
-                up.score += points * share
+        up, level = node.parent, 0
+        while up is not None and level < len(SHARES):
+            if up.tag in BLOCKS:
+                if up not in scored:
+                    scored.add(up)
+                    up.score = NAMED * bool(up.names and GOOD_NAMES.search(up.names)) + ARTICLE * (up.tag in ("article", "main") or up.role == "main") + BLOCK * (up.tag in ("div", "section"))
+                up.earned += _points(node) * SHARES[level]
                 level += 1
-                share = 0.5 if level == 1 else share / 3
             up = up.parent
-    for node in scored.values():
-        chars, linked, _, _ = own[id(node)]
-        node.score *= 1 - linked / max(chars, 1)
-    for node in order:
-        node.size = (own[id(node)][0], own[id(node)][1])
-    return [n for n in order if id(n) in scored]
+    found = [n for n in order if n in scored]
+    for node in found:
+        text = 1 - node.linked / max(node.chars, 1)
+        node.earned *= text
+        node.score = node.score * text + node.earned
+    return found
+
+
+def scored_tree(source: str) -> tuple[Node, list[Node]]:
+    """The page's tree and its containers with scores, in page order."""
+    root = parse(source)
+    _measure(_kept(root, _foreign))
+    half = root.points / 2
+    held = {}  # points before the doubtful parts go
+
+    def dropped(node: Node) -> bool:
+        return _foreign(node) or (_doubtful(node) and not held[node] >= half > 0)
+
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        held[node] = 0.0 if node.dropped else node.points
+        stack.extend(c for c in node.children if not isinstance(c, str))
+    order = _kept(root, dropped)
+    _measure(order)
+    return root, _score(order)
 
 
 def main_text(source: str | None) -> str:
     """The article's blocks joined by one space; empty if there is none.
 
     Of equal scores the outermost container, first in the page, wins. Without a paragraph that scores, the
-    first article or main element is taken, else the body.
+    first article or main element is taken, else the whole page.
     """
     if not source:
         return ""
-    root = parse(source)
-    scored = _score(root)
-    best = max(scored, key=lambda n: n.score, default=None)
+    root, found = scored_tree(source)
+    best = max(found, key=lambda n: n.score, default=None)
     if best is None or best.score <= 0:
-        found, stack = None, [root]
+        stack = [root]
         while stack:
             node = stack.pop()
             if node.tag in ("article", "main"):
-                found = node
-                break
-            stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and not _dropped(c))
-        return " ".join(_blocks(found or root, keep_top=True))
-    node = best
-    while node is not None and node.tag not in ("article", "main"):
-        node = node.parent
-    if node is not None:
-        return " ".join(_blocks(node, keep_top=True))
+                return " ".join(_blocks([node]))
+            stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and not c.dropped)
+        return " ".join(_blocks([root]))
     if best.parent is None:
-        return " ".join(_blocks(best, keep_top=True))
-    out, least = [], max(10.0, 0.2 * best.score)
-    for c in best.parent.children:
-        if isinstance(c, str) or c is not best and _dropped(c):
-            continue
-        if c is not best:
-            chars, linked = c.size
-            density = linked / max(chars, 1)
-            alike = c.score + (0.2 * best.score if c.names and c.names == best.names else 0) >= least
-            if not alike and not (c.tag in ("p", "h1", "h2", "h3", "blockquote", "pre", "ul", "ol", "table", "figure") and chars and density < 0.25):
-                continue
-        out += _blocks(c, keep_top=True)
-    return " ".join(out)
+        return " ".join(_blocks([best]))
+    return " ".join(_blocks([c for c in best.parent.children if not isinstance(c, str) and (c is best or not c.dropped and _alike(c, best))]))
+
+
+def _alike(node: Node, best: Node) -> bool:
+    """A sibling of the best container that belongs to it: by its paragraphs' points and its name, or as a heading, paragraph or list that isn't mostly links."""
+    if node.earned + (SAME_NAME * best.score if node.names and node.names == best.names else 0) >= max(10.0, ALIKE * best.score):
+        return True
+    return node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "dl", "table", "figure") and 0 < node.chars and node.linked / node.chars < LINKED
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -248,7 +359,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     give a row each; other columns are ignored; whole pages are read, whatever their length."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, pages in slices(_as_pairs(batches), 8_000_000):
+        for rows, pages in slices(_as_pairs(batches), 4_000_000):
             ids, urls = [r["page_id"] for r in rows], [r["url"] for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array([main_text(p) for p in pages], pa.string())], ["page_id", "url", "text"])
 
