@@ -8,8 +8,10 @@ Identifiers and words that the text already uses cost a few bytes; keys cost abo
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,10 +28,14 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words that make the next CONTEXT code points sensitive, and so many after each candidate that is reported.
 SENSITIVE = re.compile(r"(?i:passw|passphrase|pwd|secret|token|api[\s_-]?key|private[\s_-]?key|access[\s_-]?key|credential|bearer|authorization|signature|client[\s_-]?id|connection[\s_-]?string)", re.ASCII)
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "bearer", "authorization", "signature", "client", "connection")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 CONTEXT, AROUND = 64, 512
 #: A candidate is reported if it adds at least this share of its own bytes, and so many bytes.
-NOVEL_SHARE, NOVEL_BYTES = 0.7, 12
+NOVEL_SHARE, NOVEL_BYTES = 0.7, 16
+#: What is measured: every run of these characters that could add NOVEL_BYTES. A string adds its length and OVERHEAD bytes at most.
+OVERHEAD = 4
+LEAST = NOVEL_BYTES - OVERHEAD
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 IDENTIFIERS = (
     " password passwd passphrase secret token access_token refresh_token session_token api_key apikey private_key public_key access_key_id"
     " secret_access_key client_id client_secret credential credentials authorization Authorization: Bearer signature connection_string"
@@ -37,7 +43,7 @@ IDENTIFIERS = (
     " _example_here default null None true false undefined import export function return const static string get set value ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     " abcdefghijklmnopqrstuvwxyz 0123456789 xxxxxxxxxxxxxxxx ________________ ----------------"
 )
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 4_000_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -72,19 +78,23 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
-    busy, found, upto = sorted((s, e) for s, _, e in taken), [], 0
+    busy = sorted((s, e) for s, _, e in taken)
+    reach = list(accumulate((e for _, e in busy), max))
+    found, upto = [], 0
     for word in SENSITIVE.finditer(text):
         stop = word.end() + CONTEXT
         at = max(word.end(), upto)
-        while (m := CANDIDATE.search(text, at)) and m.start() < stop:
-            at = upto = m.end()
-            value = m.group()
-            if any(s < m.end() and m.start() < e for s, e in busy):
-                continue
-            added = marginal_bytes(value, text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND])
-            if added >= max(NOVEL_BYTES, NOVEL_SHARE * len(value)):
-                found.append((m.start(), 3, m.end()))
-                stop = m.end() + CONTEXT  # a key of many lines is followed to its end
+        # a candidate begins before stop, so nothing is looked at again and again
+        while at < stop and (m := CANDIDATE.search(text, at, stop + LEAST - 1)):
+            start, end = m.start(), RUN.match(text, m.start()).end()
+            at = upto = end
+            before = bisect_left(busy, (end, 0))
+            if before and reach[before - 1] > start:
+                continue  # overlaps what is taken
+            added = marginal_bytes(text[start:end], text[max(0, start - AROUND) : start], text[end : end + AROUND])
+            if added >= max(NOVEL_BYTES, NOVEL_SHARE * (end - start)):
+                found.append((start, 3, end))
+                stop = end + CONTEXT  # a key of many lines is followed to its end
     return found
 
 

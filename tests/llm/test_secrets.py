@@ -57,3 +57,72 @@ def test_novelty_of_key_blocks_and_labels():
     for label in ("api key: ", "access key = ", "token "):
         assert X.novel_spans(label + letters, []) == [(len(label), 3, len(label) + 32)]
     assert X.novel_spans("token " + "-" * 40, []) == []
+
+
+def brute_novel(text, taken):
+    """Every run of candidate characters behind a sensitive word, one code point after another."""
+    found, upto = [], 0
+    for word in X.SENSITIVE.finditer(text):
+        at, stop = max(word.end(), upto), word.end() + X.CONTEXT
+        while at < stop and at < len(text):
+            if not X.RUN.fullmatch(text[at]):
+                at += 1
+                continue
+            end = at
+            while end < len(text) and X.RUN.fullmatch(text[end]):
+                end += 1
+            start, at = at, end
+            if end - start >= X.LEAST:
+                upto = end
+            if any(s < end and start < e for s, _, e in taken):
+                continue
+            added = X.marginal_bytes(text[start:end], text[max(0, start - X.AROUND) : start], text[end : end + X.AROUND])
+            if added >= max(X.NOVEL_BYTES, X.NOVEL_SHARE * (end - start)):
+                found.append((start, 3, end))
+                stop, upto = end + X.CONTEXT, end
+    return found
+
+
+def test_novel_spans_against_a_plain_loop():
+    rng, hits = random.Random(12), 0
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randrange(1, 30)):
+            kind = rng.randrange(8)
+            parts.append(
+                rng.choice(["token", "api key", "secret", "Bearer", "pwd"]) if kind < 2 else "".join(rng.choice(ALNUM) for _ in range(rng.choice([3, 11, 12, 16, 20, 40, 90]))) if kind < 5 else rng.choice(["configuration", "the", "é", "=", ": ", "\n", "a" * 50, "password=hunter22"])
+            )
+            parts.append(rng.choice([" ", "", "\n", " " * 30]))
+        text = "".join(parts)
+        base = X.base_spans(text)
+        got = X.novel_spans(text, base)
+        assert got == brute_novel(text, base), text
+        hits += len(got)
+    assert hits > 300
+
+
+def test_no_string_adds_more_than_its_length_and_overhead():
+    rng = random.Random(13)
+    for _ in range(300):
+        value = "".join(rng.choice(ALNUM) for _ in range(rng.randrange(1, 16)))
+        around = "".join(rng.choice(ALNUM + "  \n") for _ in range(rng.randrange(600)))
+        assert X.marginal_bytes(value, around[:512], around[-60:]) <= len(value) + X.OVERHEAD
+
+
+def test_capital_letters_are_measured():
+    text = "the secret is QWJXKVZPLMRTYDHGBNSC and"
+    assert X.novel_spans(text, []) == [(14, 3, 34)]
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        X.novel_spans("token " * n, [])
+        X.novel_spans("token" * n, [])
+        X.novel_spans("token " + "ab+" * n, [(6 + 3 * i, 0, 7 + 3 * i) for i in range(n)])
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 40 * max(seconds(8_000), 0.01)
