@@ -1,17 +1,17 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 A vector's score is the sum of local scores, one from each of a few runs of components
-("lists"). Phase one gathers from every list of every block of candidates its best local
-entries and takes, per query, a cutoff that k full scores are known to reach. Phase
-two sends the cutoff to every block along with the query: an entry can only reach it if in some list
+("lists"). Queries go in waves of a bounded size, which are broadcast; candidates stay where they are. Phase one gathers
+from every list of every partition of candidates its best local entries and takes, per query, a cutoff that k full
+scores are known to reach. Phase two broadcasts the cutoffs: an entry can only reach one if in some list
 it falls behind that list's best by no more than an equal share of the slack, and those
-entries are collected. Phase three adds up just their scores, exactly.
-Queries and candidates meet in blocks of bounded size; a block returns k rows a query at most.
+entries are collected. Phase three adds up just their scores, exactly. A partition returns k rows a query at most.
 """
 
 from __future__ import annotations
 
-import math
+import heapq
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from manyfold.llm.common import cut, table
 
 LISTS = 4
-#: Rows of a block of queries and of candidates, and queries that are worked on together.
-QUERY_ROWS, CANDIDATE_ROWS, STEP = 2048, 8192, 128
+#: Queries of a wave and bytes of their components, candidates that are worked on together, and queries.
+WAVE_ROWS, WAVE_BYTES, CANDIDATE_ROWS, STEP = 16_384, 32_000_000, 8192, 128
 LONG = (1 << 63) - 1
 
 
@@ -72,7 +72,7 @@ def _in_range(scores: np.ndarray) -> np.ndarray:
 
 
 def gather(q_ids, q, c_ids, c, k: int, lists: int):
-    """Phase one: per query, a score that k entries of this block reach, if it has as many."""
+    """Phase one: per query, the full scores, k at most, of entries that are best in some list of this block."""
     for at in range(0, len(q_ids), STEP):
         parts = _local(q[at : at + STEP], c, lists)
         for row, own in enumerate(q_ids[at : at + STEP].tolist()):
@@ -81,9 +81,7 @@ def gather(q_ids, q, c_ids, c, k: int, lists: int):
                 best = part[row] if part.dtype != object else part[row].astype(float)
                 found.update(np.argpartition(-best, k)[: k + 1].tolist() if len(best) > k + 1 else range(len(best)))
             places = np.array([i for i in found if c_ids[i] != own], int)
-            if len(places) >= k:
-                total = sum(part[row][places] for part in parts)
-                yield own, int(np.sort(total)[-k])
+            yield at + row, heapq.nlargest(k, (int(x) for x in sum(part[row][places] for part in parts)))
 
 
 def resolve(q_ids, q, cutoffs, c_ids, c, k: int, lists: int):
@@ -114,51 +112,94 @@ def resolve(q_ids, q, cutoffs, c_ids, c, k: int, lists: int):
                 yield own, int(c_ids[places[i]]), int(total[i])
 
 
-def _block(frame: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return frame["vec_id"].to_numpy(), frame["vector"].combine_chunks()
-
-
-def top_k(rows: DataFrame, queries: DataFrame, k: int, lists: int = LISTS, query_rows: int = QUERY_ROWS, candidate_rows: int = CANDIDATE_ROWS) -> DataFrame:
+def _blocks(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(ids, vectors) of so many candidates at a time."""
+    held, count = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            held.append(batch.slice(at, rows))
+            count += held[-1].num_rows
+            if count >= rows:
+                whole = pa.Table.from_batches(held).combine_chunks()
+                yield whole["vec_id"].to_numpy(), whole["vector"].combine_chunks()
+                held, count = [], 0
+    if count:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        yield whole["vec_id"].to_numpy(), whole["vector"].combine_chunks()
+
+
+def _meet(q_vectors: pa.Array, c_vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    width = max(int(x.value_lengths().to_numpy(zero_copy_only=False).max(initial=0)) for x in (q_vectors, c_vectors))
+    return _exact(_matrix(q_vectors, width), _matrix(c_vectors, width))
+
+
+def _clipped(x: int) -> int:
+    return max(-LONG - 1, min(LONG, x))
+
+
+def _wave(rows: DataFrame, q_ids: np.ndarray, q_vectors: pa.Array, k: int, lists: int, candidate_rows: int) -> DataFrame:
+    """(query_id, vec_id, score) of what may be among the k best of each query of the wave."""
+    sc = rows.sparkSession.sparkContext
+    wave = sc.broadcast((q_ids, q_vectors))
+
+    def one(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = wave.value
+        best: dict[int, list[int]] = {}
+        for c_ids, cv in _blocks(batches, candidate_rows):
+            q, c = _meet(vectors, cv)
+            for at, scores in gather(ids, q, c_ids, c, k, lists):
+                best[at] = heapq.nlargest(k, best.get(at, []) + scores)
+        got = [(at, scores[-1]) for at, scores in best.items() if len(scores) == k]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int32()), pa.array([_clipped(x[1]) for x in got], pa.int64())], ["at", "low"])
+
+    # as many rows as the wave has come to the driver, and go back as the cutoffs
+    lows: list[int | None] = [None] * len(q_ids)
+    for r in rows.mapInArrow(one, "at int, low long").groupBy("at").agg(F.max("low").alias("low")).collect():
+        lows[r["at"]] = r["low"]
+    cutoffs = sc.broadcast(lows)
+
+    def two(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = wave.value
+        best: dict[int, list[tuple[int, int]]] = {}
+        for c_ids, cv in _blocks(batches, candidate_rows):
+            q, c = _meet(vectors, cv)
+            fresh: dict[int, list[tuple[int, int]]] = {}
+            for own, vec_id, score in resolve(ids, q, cutoffs.value, c_ids, c, k, lists):
+                fresh.setdefault(own, []).append((score, -vec_id))
+            for own, found in fresh.items():
+                best[own] = heapq.nlargest(k, best.get(own, []) + found)
+        got = [(own, -i, score) for own, found in best.items() for score, i in found]
+        for at in range(0, len(got), 100_000):
+            part = got[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
+
+    return rows.mapInArrow(two, "query_id long, vec_id long, score long")
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int, lists: int = LISTS, wave_rows: int = WAVE_ROWS, candidate_rows: int = CANDIDATE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): per query its k best rows, fewer if there are fewer, ties to the smaller id.
 
     rows, queries: (vec_id, vector of whole numbers as doubles), from whole_vectors. A row with the
-    query's own id is no candidate. Repeated rows are candidates each; a query's id should be its own
-    (repeated query ids answer as one). Vectors of unequal length are taken as filled up with zeros; a score beyond a
-    long is cut to a long's range. No queries or no rows give no result.
+    query's own id is no candidate. Repeated rows are candidates each; of queries that share an id one, of the least vector, answers. Vectors of
+    unequal length are taken as filled up with zeros, so an empty one takes part with score 0; a score beyond a
+    long is cut to a long's range. No queries or no rows give no result. Each wave reads the candidates twice and
+    shuffles k rows a query and partition at most.
     """
-    queries, rows = cut(queries.dropDuplicates(["vec_id"])), cut(rows)
-    q_blocks = max(1, math.ceil(queries.count() / query_rows))
-    c_blocks = max(1, math.ceil(rows.count() / candidate_rows))
-    place = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")  # noqa: E731  even, whichever ids or vectors repeat
-    c = cut(rows.withColumn("cb", place(c_blocks)))
-    q = cut(queries.withColumn("qb", place(q_blocks)))
-    c_dealt = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-
-    def of(left: pa.Table, right: pa.Table):
-        if not left.num_rows or not right.num_rows:
-            return None
-        (q_ids, qv), (c_ids, cv) = _block(left), _block(right)
-        width = max(int(x.value_lengths().to_numpy(zero_copy_only=False).max(initial=0)) for x in (qv, cv))
-        return q_ids, c_ids, *_exact(_matrix(qv, width), _matrix(cv, width))
-
-    def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = of(left, right)
-        got = list(gather(block[0], block[2], block[1], block[3], k, lists)) if block else []
-        return pa.table({"query_id": pa.array([x[0] for x in got], pa.int64()), "low": pa.array([max(-LONG - 1, min(LONG, x[1])) for x in got], pa.int64())})
-
-    def two(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = of(left, right)
-        got = list(resolve(block[0], block[2], left["low"].to_pylist(), block[1], block[3], k, lists)) if block else []
-        return pa.table({n: pa.array([x[i] for x in got], pa.int64()) for i, n in enumerate(("query_id", "vec_id", "score"))})
-
-    def meet(q_side: DataFrame, fn, schema: str) -> DataFrame:
-        q_dealt = q_side.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-        return q_dealt.groupBy("qb", "cb").cogroup(c_dealt.groupBy("qb", "cb")).applyInArrow(fn, schema)
-
-    lows = cut(meet(q, one, "query_id long, low long").groupBy("query_id").agg(F.max("low").alias("low")))
-    told = cut(q.join(lows, q["vec_id"] == lows["query_id"], "left").select("vec_id", "vector", "qb", "low"))
-    found = meet(told, two, "query_id long, vec_id long, score long").repartition("query_id")
-    return _ranked(found, k)
+    queries, rows = cut(queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))), cut(rows)
+    count, longest = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    if not count:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    size = max(1, min(wave_rows, WAVE_BYTES // max(8, 8 * longest)))
+    waves = -(-count // size)
+    dealt = cut(queries.withColumn("wave", F.pmod(F.monotonically_increasing_id(), F.lit(waves)).cast("int")))
+    found = None
+    for w in range(waves):
+        own = dealt.where(F.col("wave") == w).select("vec_id", "vector").toArrow().combine_chunks()
+        if own.num_rows:
+            part = _wave(rows, own["vec_id"].to_numpy(), own["vector"].combine_chunks(), k, lists, candidate_rows)
+            part = part if waves == 1 else cut(_ranked(part, k))
+            found = part if found is None else found.unionByName(part)
+    return _ranked(found, k) if waves == 1 else found
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
