@@ -17,17 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manyfold.llm.common import cut, id_text, slices, table
+from manyfold.llm.common import cut, id_text, slices, spread_join, table
 from manyfold.llm.exact_dedup import bitmap_of, in_bitmap
 from manyfold.llm.simhash import GrayIndex, _signed, components, masks
 
 #: Edits of a pair: none below SHORT code points, one below twice that, else MOST. The shorter line decides.
 MOST, SHORT = 2, 10
-#: Entries of one signature beyond which it is divided by blocks of the sketch.
+#: Rows of one signature beyond which it is divided by blocks of the sketch, and by chunks if need be.
 LARGE = 20_000
 #: Sketch bits that MOST edits can flip.
 OFF = 2 * MOST
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def edits(length: int) -> int:
@@ -72,8 +72,10 @@ def plan(length: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
     return _plans[length]
 
 
-#: The bit of a sketch that marks a probe.
-PROBE = 63
+#: The bit of a sketch that marks a probe, and what an entry counts among probes.
+PROBE, ENTRY = 63, 1 << 32
+#: Bits of the bitmap of signatures that meet another: 8 MB.
+MEETING = 1 << 26
 
 
 def sketches(lines: list[str]) -> np.ndarray:
@@ -155,38 +157,38 @@ def lines_of(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, line_no int, h long, h2 long")
 
 
-def signatures(df: DataFrame, probes: bool = True) -> DataFrame:
-    """(sig, h, sk) of the lines, each line once a task; only index entries, and these without sketch, if not ``probes``."""
+def signatures(df: DataFrame, sketched: bool = True) -> DataFrame:
+    """(sig, h, sk) of the lines, each line once a task; sk is a probe's if it is negative. Without sketches (sig, n): n is ENTRY for an entry, 1 for a probe."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as digest
 
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for ids, texts in slices(batches, SLICE_CHARS // 4):
             lines = [x for x in set(_line_rows(ids, texts)[2]) if len(x) >= SHORT]
-            hashes, _ = _hashes(lines)
-            fresh = [k for k, own in enumerate(hashes.tolist()) if own not in seen]
+            hashes, more = _hashes(lines)
+            names = list(zip(hashes.tolist(), more.tolist(), strict=True))
+            fresh = [k for k, own in enumerate(names) if own not in seen]
             lines, hashes = [lines[k] for k in fresh], hashes[fresh]
-            seen.update(hashes.tolist())
-            sigs, entries, others = [], [], []
+            seen.update(names[k] for k in fresh)
+            sigs, sizes = [], []
             for x in lines:
                 view = memoryview(x.encode("utf-32-le"))
-                own, more = plan(len(x))
+                own, others = plan(len(x))
                 sigs += [digest(view[4 * a : 4 * b], s) for s, a, b in own]
-                entries.append(len(own))
-                if probes:
-                    sigs += [digest(view[4 * a : 4 * b], s) for s, a, b in more]
-                    others.append(len(more))
-            if len(seen) > 4_000_000:
+                sigs += [digest(view[4 * a : 4 * b], s) for s, a, b in others]
+                sizes += (len(own), len(others))
+            if len(seen) > 1_000_000:
                 seen.clear()  # a line may then come again, which costs a row and changes nothing
             columns = [pa.array(np.array(sigs, np.uint64).view(np.int64))]
-            if probes:
-                size = np.array([entries, others], np.int64).T.ravel()
+            if sketched:
                 sk = np.stack([sketches(lines), sketches(lines) | np.int64(-(1 << PROBE))], axis=1).ravel() if lines else np.zeros(0, np.int64)
-                columns += [pa.array(np.repeat(np.repeat(hashes, 2), size)), pa.array(np.repeat(sk, size))]
-            yield pa.RecordBatch.from_arrays(columns, ["sig", "h", "sk"][: len(columns)])
+                columns += [pa.array(np.repeat(np.repeat(hashes, 2), sizes)), pa.array(np.repeat(sk, sizes))]
+            else:
+                columns.append(pa.array(np.repeat(np.tile([ENTRY, 1], len(lines)).astype(np.int64), sizes)))
+            yield pa.RecordBatch.from_arrays(columns, ["sig", "h", "sk"] if sketched else ["sig", "n"])
 
-    return df.mapInArrow(run, "sig long, h long, sk long" if probes else "sig long")
+    return df.mapInArrow(run, "sig long, h long, sk long" if sketched else "sig long, n long")
 
 
 def _near(sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,25 +246,51 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def meeting(df: DataFrame) -> DataFrame:
+    """(sig, rows) of the signatures that an entry and another row have; only sums are shuffled."""
+    counts = signatures(df, sketched=False).groupBy("sig").agg(F.sum("n").alias("n"))
+    return counts.select("sig", F.expr(f"n div {ENTRY} + n % {ENTRY}").alias("rows"), "n").where(f"n > {ENTRY}").drop("n")
+
+
+def _split(rows: DataFrame, large: int) -> DataFrame:
+    """(key, h, sk) rows in which no key has more than about twice ``large`` rows, and each two rows of a key meet under some key.
+
+    A key of more is dealt to chunks of ``large`` rows by the line, and a chunk meets every other under a key of their own.
+    """
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large)
+    counts = cut(counts.select(F.col("key").alias("_key"), F.ceil(F.col("_n") / large).cast("int").alias("_chunks")))
+    if not counts.take(1):
+        return rows
+    both = rows.join(counts, rows["key"] == counts["_key"], "left")
+    mine = F.pmod(F.xxhash64("h"), F.col("_chunks")).cast("int")
+    chunks = both.where("_key is not null").select("key", "h", "sk", mine.alias("_mine"), F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_other"))
+    dealt = chunks.select(F.xxhash64("key", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("key"), "h", "sk")
+    return both.where("_key is null").select("key", "h", "sk").unionByName(dealt)
+
+
 def candidates(df: DataFrame, large: int = LARGE) -> DataFrame:
     """(a, b) of hashes of lines that may be within their edits, each pair once.
 
-    A signature that many entries share is divided by pairs of the sketch's six blocks: OFF bits spoil four at
-    most, so two lines that belong together still meet, and no entry is left out.
+    Signatures are counted first; only rows whose signature meets another, as a bitmap tells, are made with hash and sketch and dealt. A signature of more than
+    ``large`` rows is divided by pairs of the sketch's six blocks: OFF bits spoil four at
+    most, so two lines that belong together still meet; and where even that leaves more, into chunks that meet two by two. No row is left out.
     """
-    crowded = cut(signatures(df, probes=False).groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large).select(F.col("sig").alias("_sig")))
-    rows = signatures(df).withColumnRenamed("sig", "key")
+    met = cut(meeting(df))
+    rows = in_bitmap(signatures(df), [F.col("sig")], cut(bitmap_of(met, ["sig"], MEETING)), MEETING).where("_found")
+    rows = cut(rows.select(F.col("sig").alias("key"), "h", "sk"))
+    crowded = cut(met.where(F.col("rows") > large).select(F.col("sig").alias("_sig")))
     if crowded.take(1):
-        rows = rows.join(crowded, rows["key"] == crowded["_sig"], "left")
+        both = rows.join(crowded, rows["key"] == crowded["_sig"], "left")
         blocks = F.array(*(F.xxhash64("key", F.lit(i), F.col("sk").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks(list(range(PROBE)), 6, OFF))))
-        rows = rows.select(F.explode(F.when(F.col("_sig").isNull(), F.array("key")).otherwise(blocks)).alias("key"), "h", "sk")
+        divided = cut(both.where("_sig is not null").select(F.explode(blocks).alias("key"), "h", "sk"))
+        rows = both.where("_sig is null").select("key", "h", "sk").unionByName(_split(divided, large))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_met, "a long, b long").distinct()
 
 
 def line_text(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, h2, line) of the lines whose h is in ``wanted``, each once."""
-    seen = cut(bitmap_of(wanted, ["h"]))
+    """(h, line_id, line) of the lines whose h is in ``wanted``, each once; line_id is both halves of its hash."""
+    seen = cut(bitmap_of(wanted, ["h"], MEETING))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches, SLICE_CHARS):
@@ -270,16 +298,18 @@ def line_text(df: DataFrame, wanted: DataFrame) -> DataFrame:
             h, h2 = _hashes(lines)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), pa.array(lines, pa.string())], ["h", "h2", "line"])
 
-    found = in_bitmap(df.mapInArrow(run, "h long, h2 long, line string"), [F.col("h")], seen).where("_found").drop("_found")
-    return found.join(wanted.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"), "left_semi").dropDuplicates(["h", "h2"])
+    found = in_bitmap(df.mapInArrow(run, "h long, h2 long, line string"), [F.col("h")], seen, MEETING).where("_found").drop("_found")
+    found = found.join(wanted.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"), "left_semi").dropDuplicates(["h", "h2"])
+    return found.select("h", F.struct("h", "h2").alias("line_id"), "line")
 
 
 def similar_lines(df: DataFrame, large: int = LARGE) -> DataFrame:
-    """(a, b) of hashes of different lines within the edits of the shorter one."""
+    """(a, b) of 128-bit hashes of different lines within the edits of the shorter one. Candidates meet by 64 bits; the texts behind them decide."""
     pairs = cut(candidates(df, large))
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
     text = cut(line_text(df, cut(wanted)))
-    named = pairs.join(text.select(F.col("h").alias("a"), F.col("line").alias("left")), "a").join(text.select(F.col("h").alias("b"), F.col("line").alias("right")), "b")
+    side = lambda name, line: text.select(F.col("h").alias(name), F.col("line_id").alias(f"{name}_id"), F.col("line").alias(line))
+    named = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,7 +317,8 @@ def similar_lines(df: DataFrame, large: int = LARGE) -> DataFrame:
             close = [within(x, y, edits(min(len(x), len(y)))) for x, y in lines]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(close, pa.bool_()))
 
-    return named.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    node = "struct<h: long, h2: long>"
+    return named.select("a_id", "b_id", "left", "right").mapInArrow(run, f"a {node}, b {node}")
 
 
 def dropped_lines(df: DataFrame, large: int = LARGE) -> DataFrame:
@@ -298,16 +329,16 @@ def dropped_lines(df: DataFrame, large: int = LARGE) -> DataFrame:
     """
     rows = cut(lines_of(df))
     first = rows.groupBy("h", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    classes = cut(first)
-    tree = cut(components(similar_lines(df, large)))
-    grown = cut(classes.join(tree, classes["h"] == tree["node"], "left").select("h", "h2", "first", "n", "root"))
-    linked = grown.where("root is not null")
-    heads = cut(linked.groupBy("root").agg(F.min("first").alias("head")))
-    # only classes that lose a line are joined with the lines
-    loses = linked.join(heads, "root").select("h", "h2", F.col("head").alias("keep")).unionByName(grown.where("root is null and n > 1").select("h", "h2", F.col("first").alias("keep")))
-    loses = cut(loses)
+    tree = cut(components(similar_lines(df, large)).select(F.col("node.h").alias("_h"), F.col("node.h2").alias("_h2"), "root"))
+    grown = first.join(tree, (F.col("h") == F.col("_h")) & (F.col("h2") == F.col("_h2")), "left").where("root is not null or n > 1")
+    grown = cut(grown.select("h", "h2", "first", "n", "root"))
+    heads = cut(grown.where("root is not null").groupBy("root").agg(F.min("first").alias("keep"), F.count(F.lit(1)).alias("size")))
+    linked = spread_join(cut(grown.where("root is not null")), heads, ["root"], "size", "inner").select("h", "h2", "keep", "n")
+    loses = cut(linked.unionByName(grown.where("root is null").select("h", "h2", F.col("first").alias("keep"), "n")))
     here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    return rows.join(loses, ["h", "h2"]).where(here != F.col("keep")).select("doc_id", "line_no")
+    # only lines whose class may lose one are dealt to the join that decides
+    doubtful = cut(in_bitmap(rows, [F.col("h")], cut(bitmap_of(loses, ["h"], MEETING)), MEETING).where("_found").drop("_found"))
+    return spread_join(doubtful, loses, ["h", "h2"], "n", "inner").where(here != F.col("keep")).select("doc_id", "line_no")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
@@ -315,15 +346,27 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     Lines end at a newline. A null text counts as empty, which is one empty line. Ids should tell rows apart: rows of
     one id share the numbers that are dropped from any of them, but never lose the first of a class. ``dropped`` lists the
-    numbers of dropped lines, from 0.
+    numbers of dropped lines, from 0. Only documents whose id a bitmap doesn't clear are dealt to the join with what they lose.
     """
     docs = id_text(df, id_col, text_col)
     gone = cut(dropped_lines(docs, large).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped")).withColumnRenamed("doc_id", "_id"))
-    both = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left")
-    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
-    lines = F.split("text", "\n")
-    kept = F.when(F.size(dropped) == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(dropped, i)), "\n"))
-    return both.select("doc_id", kept.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"))
+    marked = in_bitmap(docs, [F.col("doc_id")], cut(bitmap_of(gone, ["_id"])))
+    whole = marked.where("not _found").select("doc_id", "text", (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.array().cast("array<int>").alias("dropped"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, sizes, lost = [], [], []
+            for text, drop in zip(b.column(1), b.column(2), strict=True):
+                lines, off = text.as_py().split("\n"), drop.as_py() or []
+                gone = {n for n in off if n < len(lines)}
+                sizes.append(len(lines))
+                lost.append(sorted(gone))
+                texts.append("\n".join([x for n, x in enumerate(lines) if n not in gone]))
+            columns = [b.column(0), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array([len(x) for x in lost], pa.int64()), pa.array(lost, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_lines", "n_dropped", "dropped"])
+
+    doubtful = marked.where("_found").select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return whole.unionByName(doubtful.select("doc_id", "text", "dropped").mapInArrow(run, whole.schema))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
