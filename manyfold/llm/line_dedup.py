@@ -3,7 +3,7 @@
 A line of length L within t edits of another leaves one of its t + 1 segments whole, near
 its place. Segments of every line are its index entries; substrings of the lines that are
 as long or a little longer, at the places where a whole segment may have moved to, probe them.
-Entries and probes meet by a hash of (length, segment number, characters). A 64-bit sketch,
+Entries and probes meet by a hash of (length, segment number, characters), worked out from running sums. A 64-bit sketch,
 the parity of each kind of character, differs in two bits an edit at most and
 sifts the pairs that meet; what is left is verified by banded bit-parallel edit distance.
 """
@@ -74,25 +74,114 @@ def plan(length: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
 
 #: The bit of a sketch that marks a probe, and what an entry counts among probes.
 PROBE, ENTRY = 63, 1 << 32
-#: Bits of the bitmap of signatures that meet another: 8 MB.
-MEETING = 1 << 26
-
-
-def sketches(lines: list[str]) -> np.ndarray:
-    """Parity of how often each of 63 kinds of character occurs, for every line."""
-    codes = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
-    kinds = np.minimum((codes * np.uint32(2654435761)) >> np.uint32(26), PROBE - 1).astype(np.int64)
-    out = np.empty(len(lines), np.int64)
-    stops = np.cumsum([len(x) for x in lines])
-    first = start = 0
-    while first < len(lines):  # some thousand lines at a time
-        last = min(len(lines), first + 4096)
-        size = np.diff(np.concatenate([[start], stops[first:last]]))
-        owner = np.repeat(np.arange(last - first), size)
-        odd = np.bincount(owner * 64 + kinds[start : stops[last - 1]], minlength=(last - first) * 64) & 1
-        out[first:last] = np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view("<i8")[:, 0]
-        first, start = last, stops[last - 1]
-    return out
+#: Bits of the bitmaps of signatures that meet another and of lines in question: 4 MB each. Where they fill up, more rows are dealt and the results stay.
+MEETING = 1 << 25
+
+
+#: Characters whose places are worked out together; a longer line goes through in so many at a time.
+BLOCK = 1 << 18
+#: Substrings are known by a polynomial of their scrambled characters, whole numbers modulo 2**64, so that running sums give the value of
+#: any; equal substrings always have equal values, and what meets by chance is told apart by the texts.
+WRAP = (1 << 64) - 1
+BASE, SEED, MIX = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+UNBASE = pow(BASE, -1, 1 << 64)
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    for shift, by in zip((30, 27), MIX, strict=True):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
+    return z ^ (z >> np.uint64(31))
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(BLOCK + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_tables: dict[str, np.ndarray] = {}
+
+
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    if not _tables:
+        _tables.update(up=_powers(BASE), down=_powers(UNBASE))
+    return _tables["up"], _tables["down"]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def _kinds(codes: np.ndarray) -> np.ndarray:
+    return np.minimum((codes * np.uint32(2654435761)) >> np.uint32(26), PROBE - 1).astype(np.int64)
+
+
+def _packed(odd: np.ndarray) -> np.ndarray:
+    """Sketches from rows of 64 parities."""
+    return np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view("<i8")[:, 0]
+
+
+def _runs(lines: list[str]) -> Iterator[list[int]]:
+    """Places of neighbouring lines that have BLOCK characters together; a longer line stands alone."""
+    held, size = [], 0
+    for k, line in enumerate(lines):
+        if held and size + len(line) > BLOCK:
+            yield held
+            held, size = [], 0
+        held.append(k)
+        size += len(line)
+    if held:
+        yield held
+
+
+def marks(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(line, signature, whether it is an entry, sketch) of all signatures, some lines at a time.
+
+    A sketch is the parity of how often each of 63 kinds of character occurs.
+    """
+    up, down = _power_tables()
+    for held in _runs(lines):
+        size = np.array([len(lines[k]) for k in held], np.int64)
+        if size.sum() > BLOCK:
+            yield _marks_of_one(held[0], lines[held[0]])
+            continue
+        codes = _codes("".join([lines[k] for k in held]))
+        owner = np.repeat(np.arange(len(held)), size)
+        sk = _packed(np.bincount(owner * 64 + _kinds(codes), minlength=64 * len(held)) & 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], dtype=np.uint64)])
+        first, at = np.cumsum(size) - size, np.array(held)
+        for length in np.unique(size).tolist():
+            own, others = plan(length)
+            if not own:
+                continue
+            seed, start, stop = (np.array(x, np.int64) for x in zip(*own, *others, strict=True))
+            which = np.flatnonzero(size == length)
+            a, b = first[which][:, None] + start, first[which][:, None] + stop
+            value = (sums[b] - sums[a]) * down[a]
+            sig = _mixed(value + seed.astype(np.uint64) * np.uint64(SEED))
+            entry = np.broadcast_to(np.arange(len(seed)) < len(own), sig.shape)
+            yield np.repeat(at[which], len(seed)), sig.ravel(), entry.ravel(), np.repeat(sk[which], len(seed))
+
+
+def _marks_of_one(at: int, line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of one long line, BLOCK characters at a time."""
+    up, _ = _power_tables()
+    own, others = plan(len(line))
+    seed, start, stop = (np.array(x, np.int64) for x in zip(*own, *others, strict=True))
+    places = np.unique(np.concatenate([start, stop]))
+    sums, odd = {0: 0}, np.zeros(64, np.int64)
+    total, scale = 0, 1
+    for from_ in range(0, len(line), BLOCK):
+        codes = _codes(line[from_ : from_ + BLOCK])
+        odd ^= np.bincount(_kinds(codes), minlength=64) & 1
+        here = np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], dtype=np.uint64)
+        for p in places[(places > from_) & (places <= from_ + len(codes))].tolist():
+            sums[p] = (total + scale * int(here[p - from_ - 1])) & WRAP
+        total = (total + scale * int(here[-1])) & WRAP
+        scale = scale * pow(BASE, len(codes), 1 << 64) & WRAP
+    value = np.array([(sums[b] - sums[a]) * pow(UNBASE, a, 1 << 64) & WRAP for a, b in zip(start.tolist(), stop.tolist(), strict=True)], np.uint64)
+    sig = _mixed(value + seed.astype(np.uint64) * np.uint64(SEED))
+    return np.full(len(sig), at), sig, np.arange(len(sig)) < len(own), np.repeat(_packed(odd), len(sig))
 
 
 def within(a: str, b: str, t: int) -> bool:
@@ -137,10 +226,14 @@ def _line_rows(ids: list, texts: list[str]) -> tuple[list, list, list[str]]:
     return docs, numbers, lines
 
 
-def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _digests(lines: list[str]) -> list[bytes]:
     import xxhash
 
-    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode()) for x in lines), "<i8").reshape(-1, 2)
+    return [xxhash.xxh3_128_digest(x.encode()) for x in lines]
+
+
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(_digests(lines)), "<i8").reshape(-1, 2)
     return raw[:, 0], raw[:, 1]
 
 
@@ -157,38 +250,44 @@ def lines_of(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, line_no int, h long, h2 long")
 
 
-def signatures(df: DataFrame, sketched: bool = True) -> DataFrame:
-    """(sig, h, sk) of the lines, each line once a task; sk is a probe's if it is negative. Without sketches (sig, n): n is ENTRY for an entry, 1 for a probe."""
+def signatures(df: DataFrame, met=None) -> DataFrame:
+    """(sig, n) of the lines, each line once a task: n is ENTRY for an entry, 1 for a probe.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest as digest
+    With ``met``, a broadcast bitmap, (sig, h, sk) of those whose bit is set; sk is a probe's if it is negative.
+    """
 
-        seen: set[tuple[int, int]] = set()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for ids, texts in slices(batches, SLICE_CHARS // 4):
             lines = [x for x in set(_line_rows(ids, texts)[2]) if len(x) >= SHORT]
-            hashes, more = _hashes(lines)
-            names = list(zip(hashes.tolist(), more.tolist(), strict=True))
+            names = _digests(lines)
             fresh = [k for k, own in enumerate(names) if own not in seen]
-            lines, hashes = [lines[k] for k in fresh], hashes[fresh]
-            seen.update(names[k] for k in fresh)
-            sigs, sizes = [], []
-            for x in lines:
-                view = memoryview(x.encode("utf-32-le"))
-                own, others = plan(len(x))
-                sigs += [digest(view[4 * a : 4 * b], s) for s, a, b in own]
-                sigs += [digest(view[4 * a : 4 * b], s) for s, a, b in others]
-                sizes += (len(own), len(others))
-            if len(seen) > 1_000_000:
+            lines, names = [lines[k] for k in fresh], [names[k] for k in fresh]
+            seen.update(names)
+            if len(seen) > 200_000:
                 seen.clear()  # a line may then come again, which costs a row and changes nothing
-            columns = [pa.array(np.array(sigs, np.uint64).view(np.int64))]
-            if sketched:
-                sk = np.stack([sketches(lines), sketches(lines) | np.int64(-(1 << PROBE))], axis=1).ravel() if lines else np.zeros(0, np.int64)
-                columns += [pa.array(np.repeat(np.repeat(hashes, 2), sizes)), pa.array(np.repeat(sk, sizes))]
-            else:
-                columns.append(pa.array(np.repeat(np.tile([ENTRY, 1], len(lines)).astype(np.int64), sizes)))
-            yield pa.RecordBatch.from_arrays(columns, ["sig", "h", "sk"] if sketched else ["sig", "n"])
-
-    return df.mapInArrow(run, "sig long, h long, sk long" if sketched else "sig long, n long")
+            hashes = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)[:, 0]
+            for line, sig, entry, sk in marks(lines):
+                if met is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.where(entry, ENTRY, 1))], ["sig", "n"])
+                    continue
+                bit = sig % np.uint64(MEETING)
+                hit = (met.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                if hit.any():
+                    sk = np.where(entry, sk, sk | np.int64(-(1 << PROBE)))
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[hit].view(np.int64)), pa.array(hashes[line[hit]]), pa.array(sk[hit])], ["sig", "h", "sk"])
+
+    return df.mapInArrow(run, "sig long, n long" if met is None else "sig long, h long, sk long")
+
+
+def _bitmap(met: DataFrame) -> np.ndarray:
+    """One bit for each of MEETING remainders of ``sig``: MEETING / 8 bytes come to the driver, whatever the corpus holds."""
+    bit = met.select((F.pmod(F.col("sig"), F.lit(MEETING)) + 1).alias("bit"))
+    parts = bit.groupBy(F.bitmap_bucket_number("bit").alias("nth")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    out = np.zeros(MEETING // 8, np.uint8)
+    for r in parts:
+        out[(r.nth - 1) * 4096 : r.nth * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
 
 
 def _near(sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +347,7 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def meeting(df: DataFrame) -> DataFrame:
     """(sig, rows) of the signatures that an entry and another row have; only sums are shuffled."""
-    counts = signatures(df, sketched=False).groupBy("sig").agg(F.sum("n").alias("n"))
+    counts = signatures(df).groupBy("sig").agg(F.sum("n").alias("n"))
     return counts.select("sig", F.expr(f"n div {ENTRY} + n % {ENTRY}").alias("rows"), "n").where(f"n > {ENTRY}").drop("n")
 
 
@@ -276,7 +375,7 @@ def candidates(df: DataFrame, large: int = LARGE) -> DataFrame:
     most, so two lines that belong together still meet; and where even that leaves more, into chunks that meet two by two. No row is left out.
     """
     met = cut(meeting(df))
-    rows = in_bitmap(signatures(df), [F.col("sig")], cut(bitmap_of(met, ["sig"], MEETING)), MEETING).where("_found")
+    rows = signatures(df, df.sparkSession.sparkContext.broadcast(_bitmap(met)))
     rows = cut(rows.select(F.col("sig").alias("key"), "h", "sk"))
     crowded = cut(met.where(F.col("rows") > large).select(F.col("sig").alias("_sig")))
     if crowded.take(1):
@@ -354,7 +453,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     whole = marked.where("not _found").select("doc_id", "text", (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.array().cast("array<int>").alias("dropped"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200)):
             texts, sizes, lost = [], [], []
             for text, drop in zip(b.column(1), b.column(2), strict=True):
                 lines, off = text.as_py().split("\n"), drop.as_py() or []

@@ -84,3 +84,57 @@ def test_query(spark, tmp_path):
     rows = {r.doc_id: r for r in X.op8_line_dedup(spark, str(tmp_path)).collect()}
     assert (rows[1].dropped, rows[2].dropped, rows[2].n_dropped) == ("", "0", 1)
     assert rows[2].text_sha256 == sha256(b"more").hexdigest()
+
+
+def test_marks_by_running_sums(monkeypatch):
+    """Equal substrings of equal seeds, and only those, have equal signatures, also in lines that go through in blocks."""
+    rng = random.Random(21)
+    lines = ["".join(rng.choice("abé🙂") for _ in range(rng.choice([10, 11, 20, 23, 90]))) for _ in range(60)] + ["ab" * 300, "ab" * 299 + "b"]
+
+    def all_marks():
+        out = {}
+        for line, sig, entry, sk in X.marks(lines):
+            for k, s, e, sketch in zip(line.tolist(), sig.tolist(), entry.tolist(), sk.tolist(), strict=True):
+                out.setdefault(k, []).append((s, e, sketch))
+        return out
+
+    whole, by = all_marks(), {}
+    for k, found in whole.items():
+        own, others = X.plan(len(lines[k]))
+        for (seed, a, b), (sig, entry, sketch) in zip(own + others, found, strict=True):
+            assert by.setdefault(sig, (seed, lines[k][a:b])) == (seed, lines[k][a:b])
+            assert by.setdefault((seed, lines[k][a:b]), sig) == sig
+            assert entry == ((seed, a, b) in own)
+            kinds = X._kinds(X._codes(lines[k])).tolist()
+            assert sketch == sum((kinds.count(b) & 1) << b for b in range(63))
+    monkeypatch.setattr(X, "BLOCK", 64)
+    X._tables.clear()
+    assert all_marks() == whole
+    X._tables.clear()
+
+
+def test_long_lines_take_bounded_memory():
+    import tracemalloc
+
+    list(X.marks(["x" * 20]))
+    line = "some words of a line " * 500_000
+    tracemalloc.start()
+    assert len(list(X.marks([line]))[0][0]) > 3
+    assert tracemalloc.get_traced_memory()[1] < 40_000_000
+    tracemalloc.stop()
+
+
+def test_crowded_signatures_meet_in_chunks(spark):
+    """Lines that agree in all but two places share signatures and most of the sketch; in chunks each two still meet."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, h, 0) for h in range(50)] + [(2, 7, 0), (2, 8, 0), (3, 9, 0)]
+    df = spark.createDataFrame(rows, "key long, h long, sk long")
+    dealt = X._split(df, 6).collect()
+    by = {}
+    for r in dealt:
+        by.setdefault(r.key, set()).add(r.h)
+    assert max(map(len, by.values())) < 40
+    met = {frozenset((a, b)) for own in by.values() for a in own for b in own if a != b}
+    assert met >= {frozenset((a, b)) for a in range(50) for b in range(a)}
+    assert df.groupBy("key").agg(F.count("h").alias("n")).where("n > 6").count() == 1
