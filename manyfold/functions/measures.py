@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from manyfold.functions import running
+from manyfold.storage import settle
+
 
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -43,18 +50,76 @@ def pair_features(u: Column, v: Column) -> Column:
 def ewma_flags(readings: DataFrame, key: str, time: str, value: str, keep: float = 0.9, limit: float = 0.25) -> DataFrame:
     """(key, time, value, baseline, flag): each key's readings in order against a running mean that every reading then moves.
 
-    The first reading is its own baseline and never flagged. A key's readings are folded as one array: as long as its history.
+    The first reading is its own baseline and never flagged; readings of one time are taken by value. Readings are ranged by key and time, so a key of any length is
+    dealt to many tasks. What a range does to the baseline that enters it is linear, so one pass sums each range up,
+    two rows a range come to the driver, and a second pass begins each range with the baseline it inherits.
     """
-    series = readings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(value).cast("double").alias("x")))).alias("s"))
-    first = F.element_at("s", 1)["x"]
-    start = F.struct(first.alias("b"), F.array().cast("array<struct<t:bigint,x:double,b:double>>").alias("out"))
-
-    def step(acc, r):
-        seen = F.array(F.struct(r["t"].cast("bigint").alias("t"), r["x"].alias("x"), acc["b"].alias("b")))
-        return F.struct((acc["b"] * keep + r["x"] * (1 - keep)).alias("b"), F.concat(acc["out"], seen).alias("out"))
-
-    folded = series.select(key, F.explode(F.aggregate("s", start, step)["out"]).alias("r"))
-    return folded.select(key, F.col("r.t").alias(time), F.col("r.x").alias(value), F.col("r.b").alias("baseline"), (F.abs(F.col("r.x") - F.col("r.b")) > limit).alias("flag"))
+    rows = readings.select(F.col(key).alias("k"), F.col(time).cast("bigint").alias("t"), F.col(value).cast("double").alias("x"))
+    ranged = settle(rows.repartitionByRange("k", "t", "x").sortWithinPartitions("k", "t", "x").withColumn("part", F.spark_partition_id()))
+    kind = ranged.schema["k"].dataType.simpleString()
+    # what a baseline and the readings before each of width places count there, and after the last
+    width = 64
+    gap = np.arange(width + 1)[:, None] - 1 - np.arange(width)[None, :]
+    own, others = keep ** np.arange(width + 1), np.where(gap >= 0, (1 - keep) * keep ** np.maximum(gap, 0), 0.0)
+
+    def baselines(x: np.ndarray, base: float) -> tuple[np.ndarray, float]:
+        """The baseline that each reading meets, and the one it leaves behind: some places at a time, by their closed form."""
+        out = np.empty(len(x))
+        for at in range(0, len(x), width):
+            part = x[at : at + width]
+            n = len(part)
+            b = base * own[: n + 1] + others[: n + 1, :n] @ part
+            out[at : at + n], base = b[:n], float(b[n])
+        return out, base
+
+    def runs(batch: pa.RecordBatch):
+        """(key, readings) of neighbours of one key."""
+        k, x = batch.column("k"), batch.column("x").to_numpy(zero_copy_only=False)
+        codes = k.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b > a:
+                yield k[a].as_py(), x[a:b]
+
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, part = [], None  # (key, its first reading, readings, baseline out of 0) of the first and the last key
+        for batch in batches:
+            for k, x in runs(batch):
+                part = batch.column("part")[0].as_py()
+                if not found or found[-1][0] != k:
+                    found = found[:1] + [[k, float(x[0]), 0, 0.0]]
+                found[-1][2] += len(x)
+                found[-1][3] = baselines(x, found[-1][3])[1]
+        for nth, (k, first, n, out) in enumerate(found):
+            yield pa.RecordBatch.from_pylist([{"part": part, "nth": nth, "k": k, "first": first, "n": n, "out": out}], pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("k", ranged_type), ("first", pa.float64()), ("n", pa.int64()), ("out", pa.float64())]))
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    ranged_type = to_arrow_type(ranged.schema["k"].dataType)
+    entry, carried = {}, None
+    for r in sorted(ranged.mapInArrow(sums, f"part int, nth int, k {kind}, first double, n long, out double").collect(), key=lambda r: (r["part"], r["nth"])):
+        base = carried[1] if carried is not None and r["nth"] == 0 and carried[0] == r["k"] else r["first"]
+        if r["nth"] == 0:
+            entry[r["part"]] = base
+        carried = (r["k"], keep ** r["n"] * base + r["out"])
+
+    def flags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, base = None, None
+        for batch in batches:
+            out = []
+            for k, x in runs(batch):
+                if base is None:
+                    now, base = k, entry[batch.column("part")[0].as_py()]
+                elif now != k:
+                    now, base = k, float(x[0])
+                found, base = baselines(x, base)
+                out.append(found)
+            b = np.concatenate(out) if out else np.zeros(0)
+            x = batch.column("x").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), batch.column("x"), pa.array(b), pa.array(np.abs(x - b) > limit)], ["k", "t", "x", "baseline", "flag"])
+
+    out = ranged.mapInArrow(flags, f"k {kind}, t bigint, x double, baseline double, flag boolean")
+    return out.select(F.col("k").alias(key), F.col("t").alias(time), F.col("x").alias(value), "baseline", "flag")
 
 
 def quartile_of(df: DataFrame, value: str, edges: list[float] = (0.25, 0.5, 0.75)) -> DataFrame:
@@ -71,8 +136,7 @@ def signed_ranks(df: DataFrame, d: str) -> DataFrame:
     """
     sizes = df.where(F.col(d) != 0).select(F.abs(F.col(d)).alias("a"), (F.col(d) > 0).cast("int").alias("up"))
     ties = sizes.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("up").alias("up"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranked = running.before_sorted(ties, "a", "n", "before").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     t = ranked.agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("w_minus"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)

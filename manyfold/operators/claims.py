@@ -13,17 +13,18 @@ POLICIES = ("plurality", "majority", "weighted", "unanimous", "priority", "lates
 
 
 def last_wins(claims: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """The last claim of each key; of equal ``seq`` an arbitrary but single one."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(seq)))
+    """The last claim of each key; of equal ``seq`` the one whose columns, as JSON, sort last, whatever order claims come in."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(seq), F.desc(F.to_json(F.struct(*claims.columns)))))
     return claims.withColumn("_nth", rank).where("_nth = 1").drop("_nth")
 
 
 def coexist(*claims: DataFrame, interp: str = "interp", addr: str = "addr", seq: str = "seq") -> DataFrame:
     """Union of claim sets: commutative, associative, and each interpretation speaks once of an address, the latest time."""
-    out = claims[0]
+    columns = sorted(claims[0].columns)
+    out = claims[0].select(*columns)
     for more in claims[1:]:
         out = out.unionByName(more)
-    return last_wins(out.distinct(), [interp, addr], seq)
+    return last_wins(out, [interp, addr], seq).select(*claims[0].columns)
 
 
 def lens(claims: DataFrame, keep: Column) -> DataFrame:

@@ -57,36 +57,51 @@ def measure_refined(px: DataFrame, levels: int, base: int = 0, derived: list[int
     return out.select("base_struct", "refine_struct", (F.col("base_payload") + F.col("refine_payload")).alias("payload"), "own_total", F.round(F.col("own_total") / paid, 6).alias("ratio"))
 
 
-def reconstruct(px: DataFrame, levels: int, threshold: float = 0.0) -> DataFrame:
-    """(layer, y, x, c, v): every layer from the shared tree; a leaf is its first pixel without loss, else its rounded mean."""
+def _blocks(placed: DataFrame, threshold: float) -> DataFrame:
+    """(layer, c, level, i, j, v): what each leaf's pixels become, its first without loss, else its rounded mean."""
+    block = placed.groupBy("layer", "c", "level", "i", "j").agg(F.min(F.struct("y", "x", "v")).alias("m"), F.rint(F.avg("v")).cast("int").alias("mean"))
+    return block.select("layer", "c", "level", "i", "j", (F.col("m.v") if threshold == 0 else F.col("mean")).cast("int").alias("v"))
+
+
+def coded(px: DataFrame, levels: int, threshold: float = 0.0) -> DataFrame:
+    """(layer, c, level, i, j, v) of the leaves of the shared tree: all that drawing needs."""
     nodes = R.quadtree(px, levels, threshold).where("type <> 'INTERNAL'").select("level", "i", "j")
-    cells = px.join(R._up(px, levels, []).join(nodes, ["level", "i", "j"]), ["y", "x"])
-    block = cells.groupBy("layer", "c", "level", "i", "j").agg(F.min(F.struct("y", "x", "v")).alias("m"), F.rint(F.avg("v")).cast("int").alias("mean"))
-    value = F.col("m.v") if threshold == 0 else F.col("mean")
-    return cells.drop("v").join(block.select("layer", "c", "level", "i", "j", value.cast("int").alias("v")), ["layer", "c", "level", "i", "j"]).select("layer", "y", "x", "c", "v")
+    return _blocks(px.join(R._up(px, levels, []).join(nodes, ["level", "i", "j"]), ["y", "x"]), threshold)
 
 
-def reconstruct_refined(px: DataFrame, levels: int, base: int = 0, rules: dict[int, Callable[[DataFrame], DataFrame]] | None = None, threshold: float = 0.0) -> DataFrame:
-    """Layers from the base's leaves and their own refinements; ``rules`` derive a layer (y, x, c, v) from the rebuilt base."""
-    rules = rules or {}
+def coded_refined(px: DataFrame, levels: int, base: int = 0, derived: list[int] = (), threshold: float = 0.0) -> DataFrame:
+    """The same of the base's leaves and of the others' refinements in them, without the derived layers."""
     trees = settle(R.quadtree(px, levels, threshold, ["layer"]))
     ends = trees.where("type <> 'INTERNAL'")
     # within a leaf of the base a layer may not be coarser than the leaf
     leaves = ends.where(F.col("layer") == base).select("level", "i", "j")
-    cells = px.where(~F.col("layer").isin([-1, *rules]))
+    cells = px.where(~F.col("layer").isin([-1, *derived]))
     up = R._up(px, levels, [])
     own = up.join(ends.select("layer", "level", "i", "j"), ["level", "i", "j"]).select("layer", "y", "x", F.col("level").alias("own"))
     shared = up.join(leaves, ["level", "i", "j"]).select("y", "x", F.col("level").alias("shared"))
     placed = cells.join(own, ["layer", "y", "x"]).join(shared, ["y", "x"]).withColumn("level", F.greatest("own", "shared"))
     placed = placed.withColumn("i", F.expr(f"cast(y div shiftleft(1, {levels} - level) as int)")).withColumn("j", F.expr(f"cast(x div shiftleft(1, {levels} - level) as int)"))
-    block = placed.groupBy("layer", "c", "level", "i", "j").agg(F.min(F.struct("y", "x", "v")).alias("m"), F.rint(F.avg("v")).cast("int").alias("mean"))
-    value = F.col("m.v") if threshold == 0 else F.col("mean")
-    out = placed.drop("v").join(block.select("layer", "c", "level", "i", "j", value.cast("int").alias("v")), ["layer", "c", "level", "i", "j"]).select("layer", "y", "x", "c", "v")
-    for layer, rule in rules.items():
+    return _blocks(placed, threshold)
+
+
+def drawn(leaves: DataFrame, levels: int, base: int = 0, rules: dict[int, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """(layer, y, x, c, v) from coded leaves alone; ``rules`` derive a layer (y, x, c, v) from the drawn base."""
+    out = R.cells_of(leaves, levels).select("layer", "y", "x", "c", "v")
+    for layer, rule in (rules or {}).items():
         out = out.unionByName(rule(out.where(F.col("layer") == base).drop("layer")).select(F.lit(layer).alias("layer"), "y", "x", "c", "v"))
     return out
 
 
+def reconstruct(px: DataFrame, levels: int, threshold: float = 0.0) -> DataFrame:
+    """(layer, y, x, c, v): every layer through the shared tree and back."""
+    return drawn(coded(px, levels, threshold), levels)
+
+
+def reconstruct_refined(px: DataFrame, levels: int, base: int = 0, rules: dict[int, Callable[[DataFrame], DataFrame]] | None = None, threshold: float = 0.0) -> DataFrame:
+    """The same through the base's leaves and the others' own refinements."""
+    return drawn(coded_refined(px, levels, base, list(rules or ()), threshold), levels, base, rules)
+
+
 def temporal_cost(diffs: DataFrame, levels: int, threshold: float, keys: list[str] = ("frame",)) -> DataFrame:
     """(keys, struct, payload) of frames given as differences ``d``: still squares end the tree and pay nothing."""
     keys = list(keys)

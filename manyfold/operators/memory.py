@@ -14,7 +14,7 @@ def topic_summary(memories: DataFrame) -> DataFrame:
 
 
 def recall(memories: DataFrame, topic) -> DataFrame:
-    """Rows of one topic: a folder of the store; none if nobody has heard of it."""
+    """Rows of one topic: the files of the store that hold it; none if nobody has heard of it."""
     return memories.where(F.col("topic") == topic)
 
 
@@ -31,7 +31,7 @@ def id_index(memories: DataFrame) -> DataFrame:
 
 
 def provenance(memories: DataFrame, index: DataFrame, memory_id) -> DataFrame:
-    """(id, topic, source, ts, kind) of the first row of that id in its topic; no row if unknown."""
-    hit = index.where(F.col("id") == memory_id)
-    rows = memories.join(hit, ["id", "topic"])
+    """(id, topic, source, ts, kind) of the first row of that id in its topic; no row if unknown. The topic found in the index then bounds what is read."""
+    hit = index.where(F.col("id") == memory_id).first()
+    rows = memories.where((F.col("id") == memory_id) & (F.col("topic") == hit.topic) if hit else F.lit(False))
     return rows.groupBy("id", "topic").agg(F.min(F.struct("seq", "source", "ts", "kind")).alias("m")).select("id", "topic", "m.source", "m.ts", "m.kind")

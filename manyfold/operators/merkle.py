@@ -1,7 +1,7 @@
 """Merkle trees as tables: one row per level and index, level 0 the leaves.
 
 Leaves are hashed with a 0x00 prefix and nodes with 0x01; the last level is padded to a
-power of two. A level is an equi-join of halves, never a window over the table.
+power of two. Eight levels are folded within groups of 256 neighbours, never in a window over the table.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from manyfold.storage import settle
 #: Prefixes of leaves and nodes, and the item that padding stands for.
 LEAF, NODE, PAD = b"\x00", b"\x01", b"\x00BHC-PAD"
 HASH_BYTES = 32
+#: Levels that are folded after one shuffle.
+FOLD = 8
 
 
 def leaf_hash(item: Column) -> Column:
@@ -30,27 +32,39 @@ def pad_hash() -> bytes:
     return hashlib.sha256(LEAF + PAD).digest()
 
 
+def _halved(below: Column, places: Column, pad: Column) -> Column:
+    """The hashes of pairs of neighbours."""
+    return F.transform(places, lambda i: node_hash(F.get(below, i * 2), F.coalesce(F.get(below, i * 2 + 1), pad)))
+
+
+def _numbered(hashes: Column, level: int, first: Column) -> Column:
+    return F.transform(hashes, lambda h, i: F.struct(F.lit(level).alias("level"), (first + i).cast("long").alias("idx"), h.alias("hash")))
+
+
 def build(leaves: DataFrame, idx: str = "idx", item: str = "item") -> DataFrame:
-    """(level, idx, hash) of the whole tree over items numbered 0 to n-1; ValueError without items."""
+    """(level, idx, hash) of the whole tree over items numbered 0 to n-1; ValueError without items.
+
+    FOLD levels take one shuffle: the 2**FOLD nodes below a common ancestor come together and are folded in place.
+    """
     level = settle(leaves.select(F.col(idx).cast("long").alias("idx"), leaf_hash(F.col(item)).alias("hash")))
     n = level.count()
     if n == 0:
         raise ValueError("nothing to commit to")
     depth = (n - 1).bit_length()
-    pad, found = pad_hash(), []
-    for k in range(depth + 1):
-        found.append(level.withColumn("level", F.lit(k)).select("level", "idx", "hash"))
-        if k == depth:
-            break
-        # a pair without a right half is completed by the root of padding of that height; what lies wholly in padding is implied
-        parent = level.groupBy(F.floor(F.col("idx") / 2).alias("idx")).agg(F.max(F.when(F.col("idx") % 2 == 0, F.col("hash"))).alias("l"), F.max(F.when(F.col("idx") % 2 == 1, F.col("hash"))).alias("r"))
-        level = parent.select("idx", node_hash(F.col("l"), F.coalesce("r", F.lit(pad))).alias("hash"))
-        pad = hashlib.sha256(NODE + pad + pad).digest()
-        if k % 4 == 3:
-            level = settle(level)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    pads, out, low = padding(depth), level.withColumn("level", F.lit(0)).select("level", "idx", "hash"), 0
+    while low < depth:
+        step = min(FOLD, depth - low)
+        group = level.groupBy(F.shiftright("idx", step).alias("g")).agg(F.array_sort(F.collect_list(F.struct("idx", "hash"))).alias("s")).select("g", F.col("s.hash").alias("h0"))
+        rows = []
+        for k in range(1, step + 1):
+            # a pair without a right half is completed by the root of padding of that height; what lies wholly in padding is implied
+            below, pad = F.col(f"h{k - 1}"), F.lit(pads[low + k - 1])
+            half = F.sequence(F.lit(0), F.shiftright(F.size(below) - 1, 1))
+            group = group.withColumn(f"h{k}", _halved(below, half, pad))
+            rows.append(_numbered(F.col(f"h{k}"), low + k, F.shiftleft(F.col("g"), step - k)))
+        above = settle(group.select(F.explode(F.concat(*rows)).alias("r")).select("r.level", F.col("r.idx").cast("long").alias("idx"), "r.hash"))
+        out, low = out.unionByName(above), low + step
+        level = above.where(F.col("level") == low).select("idx", "hash")
     return settle(out)
 
 
@@ -132,8 +146,10 @@ def prove_many(tree: DataFrame, indices: list[int]) -> DataFrame:
 def verify_many(items: DataFrame, helpers: DataFrame, root: bytes, depth: int, indices: list[int] | None = None) -> bool:
     """Whether items (idx, item) and helper hashes lead to the root; false for another set of indices than was proved."""
     level = items.select(F.col("idx").cast("long").alias("idx"), leaf_hash(F.col("item")).alias("hash"))
-    if indices is not None and sorted(set(indices)) != [r.idx for r in level.select("idx").distinct().orderBy("idx").collect()]:
-        return False
+    if indices is not None:
+        asked = items.sparkSession.createDataFrame([(i,) for i in set(indices)], "idx long")
+        if any(same_indices(level, asked).first()):
+            return False
     for k in range(depth):
         both = level.unionByName(helpers.where(F.col("level") == k).select("idx", "hash"))
         pairs = both.groupBy(F.floor(F.col("idx") / 2).alias("idx")).agg(F.max(F.when(F.col("idx") % 2 == 0, F.col("hash"))).alias("l"), F.max(F.when(F.col("idx") % 2 == 1, F.col("hash"))).alias("r"))
@@ -142,6 +158,12 @@ def verify_many(items: DataFrame, helpers: DataFrame, root: bytes, depth: int, i
     return len(top) == 1 and top[0].hash is not None and bytes(top[0].hash) == root
 
 
+def same_indices(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(only_left, only_right): how many different indices one table has and the other hasn't; both 0 for equal sets."""
+    a, b = a.select("idx").distinct(), b.select("idx").distinct()
+    return a.join(b, "idx", "left_anti").agg(F.count(F.lit(1)).alias("only_left")).crossJoin(b.join(a, "idx", "left_anti").agg(F.count(F.lit(1)).alias("only_right")))  # one row each
+
+
 def locate_tamper(tree: DataFrame, other: DataFrame) -> DataFrame:
     """(idx) of the first leaf that differs between trees of equal depth; no row if none does."""
     a, b = tree.where("level = 0").select("idx", "hash"), other.where("level = 0").select("idx", F.col("hash").alias("h2"))

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from manyfold.functions import running
+
 
 def placed(blocks: DataFrame, order: str, size: str, group: int) -> DataFrame:
-    """``blocks`` with off, the bytes before each: summed per run of ``group`` places first, so that no window spans the table."""
-    runs = blocks.withColumn("_run", F.floor(F.col(order) / group))
-    sums = runs.groupBy("_run").agg(F.sum(size).alias("_s"))
-    before = sums.select("_run", F.coalesce(F.sum("_s").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.coalesce(F.sum(size).over(Window.partitionBy("_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return runs.withColumn("_within", within).join(before, "_run").withColumn("off", F.col("_before") + F.col("_within")).drop("_run", "_within", "_before")
+    """``blocks`` with off, the bytes before each: summed by runs of ``group`` places, so that no window spans the table."""
+    return running.before(blocks, order, size, "off", group)
 
 
 def seeks(chosen: DataFrame, size: str = "size") -> DataFrame:

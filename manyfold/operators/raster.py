@@ -151,25 +151,36 @@ def dct_pixels(coefs: DataFrame, side: int, keys: list[str], n: int = DCT_N) ->
     return out.select(*keys, "dy", "dx", F.greatest(F.lit(0), F.least(F.lit(255), F.rint(F.round(F.col("r") + 128, 9)).cast("int"))).alias("v"))
 
 
+def block_error(cells: DataFrame, side: int, keys: list[str], channels: list[str] = (), criterion: str = "max") -> DataFrame:
+    """(keys, error) of square blocks (keys, channels, dy, dx, v) against what their cosines give back: the largest error, or the root of the mean squared one ("rms")."""
+    if criterion not in ("max", "rms"):
+        raise ValueError(f"criterion must be max or rms, not {criterion!r}")
+    every = [*keys, *channels]
+    back = dct_pixels(dct_coefficients(cells, side, every), side, every).withColumnRenamed("v", "r")
+    off = (F.col("v") - F.col("r")).cast("double")
+    error = F.max(F.abs(off)) if criterion == "max" else F.sqrt(F.avg(off * off))
+    return cells.join(back, [*every, "dy", "dx"]).groupBy(*keys).agg(error.alias("error"))
+
+
+def _squares(px: DataFrame, side: int) -> DataFrame:
+    """Pixels by square block: (i, j, c, dy, dx, v)."""
+    return px.select(F.floor(F.col("y") / side).cast("int").alias("i"), F.floor(F.col("x") / side).cast("int").alias("j"), "c", (F.col("y") % side).alias("dy"), (F.col("x") % side).alias("dx"), "v")
+
+
+def _dct_levels(levels: int) -> list[tuple[int, int]]:
+    """(side, level) of the nodes that cosines may stand for."""
+    return [(side, levels - side.bit_length() + 1) for side in DCT_SIDES if levels - side.bit_length() + 1 >= 0]
+
+
 def dct_error(px: DataFrame, nodes: DataFrame, levels: int, criterion: str = "max") -> DataFrame:
-    """(level, i, j, error) of nodes 8 to 32 pixels wide: the largest error, or the root of the mean squared one ("rms")."""
+    """(level, i, j, error) of nodes 8 to 32 pixels wide, over all channels."""
+    found = nodes.select("level", "i", "j").limit(0).withColumn("error", F.lit(0.0))
     if criterion not in ("max", "rms"):
         raise ValueError(f"criterion must be max or rms, not {criterion!r}")
-    found = None
-    for side in DCT_SIDES:
-        k = levels - side.bit_length() + 1
-        if k < 0:
-            continue
-        cells = px.select(F.floor(F.col("y") / side).cast("int").alias("i"), F.floor(F.col("x") / side).cast("int").alias("j"), "c", (F.col("y") % side).alias("dy"), (F.col("x") % side).alias("dx"), "v")
-        cells = cells.join(nodes.where(F.col("level") == k).select("i", "j"), ["i", "j"], "left_semi")
-        back = dct_pixels(dct_coefficients(cells, side, ["i", "j", "c"]), side, ["i", "j", "c"]).withColumnRenamed("v", "r")
-        off = (F.col("v") - F.col("r")).cast("double")
-        error = F.max(F.abs(off)) if criterion == "max" else F.sqrt(F.avg(off * off))
-        one = cells.join(back, ["i", "j", "c", "dy", "dx"]).groupBy("i", "j").agg(error.alias("error")).withColumn("level", F.lit(k))
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return nodes.select("level", "i", "j").limit(0).withColumn("error", F.lit(0.0))
-    return found.select("level", "i", "j", "error")
+    for side, k in _dct_levels(levels):
+        cells = _squares(px, side).join(nodes.where(F.col("level") == k).select("i", "j"), ["i", "j"], "left_semi")
+        found = found.unionByName(block_error(cells, side, ["i", "j"], ["c"], criterion).withColumn("level", F.lit(k)))
+    return found
 
 
 def payload_bytes(means: bool = True) -> Column:
@@ -245,28 +256,56 @@ def colors(nodes: DataFrame, stats: DataFrame, lossy: bool = False) -> DataFrame
     return both.select("level", "i", "j", "type", "c", F.when(F.col("type") == "INTERNAL", mean).when(F.col("type") == "EMPTY", F.lit(0)).otherwise(mean if lossy else F.col("low").cast("int")).alias("color"))
 
 
-def paint(painted: DataFrame, px: DataFrame, levels: int) -> DataFrame:
-    """(y, x, c, v): each pixel by the node among ``painted`` (level, i, j, c, color) that holds it; equi-joins by (level, i, j)."""
-    return _up(px, levels, []).join(painted, ["level", "i", "j"]).select("y", "x", "c", F.col("color").alias("v"))
+CODED = "level int, i int, j int, type string, c int, color int, corners struct<tl:int,tr:int,bl:int,br:int>, coefs array<struct<u:int,w:int,coef:int>>"
 
 
-def preview(nodes: DataFrame, stats: DataFrame, px: DataFrame, levels: int, cut: int, lossy: bool = False) -> DataFrame:
-    """Leaves down to level ``cut``, and the means of nodes that are still open there."""
-    known = colors(nodes, stats, lossy)
-    return paint(known.where((F.col("level") <= cut) & ((F.col("type") != "INTERNAL") | (F.col("level") == cut))), px, levels)
+def coded(nodes: DataFrame, px: DataFrame, levels: int, stats: DataFrame | None = None, lossy: bool = False) -> DataFrame:
+    """Nodes with all that decoding needs, a row a channel: (level, i, j, type, c, color, corners, coefs).
 
-
-def decode(nodes: DataFrame, px: DataFrame, levels: int, stats: DataFrame, lossy: bool = False) -> DataFrame:
-    """(y, x, c, v) of a tree of LEAF, EMPTY and RAMP nodes; ramps are drawn from the corners in ``px``."""
-    flat = paint(colors(nodes.where("type in ('LEAF', 'EMPTY')"), stats, lossy), px, levels)
+    color: see colors(); corners of ramps, coefs of cosines, null elsewhere. From here on the picture itself isn't needed.
+    """
+    base = colors(nodes, pyramid(px, levels) if stats is None else stats, lossy)
     ramps = nodes.where("type = 'RAMP'").select("level", "i", "j", F.expr(f"shiftleft(1, {levels} - level)").alias("s"))
     for name, dy, dx in (("tl", 0, 0), ("tr", 0, 1), ("bl", 1, 0), ("br", 1, 1)):
-        at = px.select(F.col("y").alias("cy"), F.col("x").alias("cx"), *([F.col("c")]), F.col("v").alias(name))
+        at = px.select(F.col("y").alias("cy"), F.col("x").alias("cx"), "c", F.col("v").cast("int").alias(name))
         ramps = ramps.withColumn("cy", (F.col("i") * F.col("s") + dy * (F.col("s") - 1)).cast("int")).withColumn("cx", (F.col("j") * F.col("s") + dx * (F.col("s") - 1)).cast("int"))
         ramps = ramps.join(at, ["cy", "cx"] + (["c"] if name != "tl" else [])).drop("cy", "cx")
-    drawn = _up(px, levels, []).join(ramps, ["level", "i", "j"])
-    value = ramp_value("tl", "tr", "bl", "br", F.col("y") - F.col("i") * F.col("s"), F.col("x") - F.col("j") * F.col("s"), F.col("s"))
-    return flat.unionByName(drawn.select("y", "x", "c", value.alias("v")))
+    out = base.join(ramps.select("level", "i", "j", "c", F.struct("tl", "tr", "bl", "br").alias("corners")), ["level", "i", "j", "c"], "left")
+    coefs = None
+    for side, k in _dct_levels(levels):
+        cells = _squares(px, side).join(nodes.where((F.col("type") == "DCT") & (F.col("level") == k)).select("i", "j"), ["i", "j"], "left_semi")
+        own = dct_coefficients(cells, side, ["i", "j", "c"]).groupBy("i", "j", "c").agg(F.array_sort(F.collect_list(F.struct("u", "w", "coef"))).alias("coefs")).withColumn("level", F.lit(k))
+        coefs = own if coefs is None else coefs.unionByName(own)
+    out = out.withColumn("coefs", F.lit(None)) if coefs is None else out.join(coefs, ["level", "i", "j", "c"], "left")
+    kinds = dict(x.split(" ", 1) for x in CODED.split(", "))
+    return out.select(*(F.col(n).cast(kinds[n]).alias(n) for n in kinds))
+
+
+def cells_of(nodes: DataFrame, levels: int) -> DataFrame:
+    """``nodes`` a row for each of their pixels: y and x in the picture, dy and dx in the node, and its side s."""
+    wide = nodes.withColumn("s", F.expr(f"shiftleft(1, {levels} - level)"))
+    every = wide.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("s") * F.col("s") - 1)))
+    every = every.withColumn("dy", F.expr("_at div s").cast("int")).withColumn("dx", (F.col("_at") % F.col("s")).cast("int")).drop("_at")
+    return every.withColumn("y", F.col("i") * F.col("s") + F.col("dy")).withColumn("x", F.col("j") * F.col("s") + F.col("dx"))
+
+
+def decode(tree: DataFrame, levels: int) -> DataFrame:
+    """(y, x, c, v) of the whole square from coded nodes alone; INTERNAL ones give nothing."""
+    flat = cells_of(tree.where("type in ('LEAF', 'EMPTY')"), levels).select("y", "x", "c", F.col("color").alias("v"))
+    ramps = cells_of(tree.where("type = 'RAMP'"), levels)
+    out = flat.unionByName(ramps.select("y", "x", "c", ramp_value("corners.tl", "corners.tr", "corners.bl", "corners.br", F.col("dy"), F.col("dx"), F.col("s")).alias("v")))
+    for side, k in _dct_levels(levels):
+        own = tree.where((F.col("type") == "DCT") & (F.col("level") == k)).select("i", "j", "c", F.explode("coefs").alias("r")).select("i", "j", "c", "r.*")
+        back = dct_pixels(own, side, ["i", "j", "c"])
+        out = out.unionByName(back.select((F.col("i") * side + F.col("dy")).alias("y"), (F.col("j") * side + F.col("dx")).alias("x"), "c", "v"))
+    return out
+
+
+def preview(tree: DataFrame, levels: int, cut: int) -> DataFrame:
+    """(y, x, c, v) from coded nodes down to level ``cut``: what ends there as it decodes, and the means of nodes that are still open."""
+    ends = decode(tree.where(F.col("level") <= cut), levels)
+    open_ = cells_of(tree.where((F.col("level") == cut) & (F.col("type") == "INTERNAL")), levels)
+    return ends.unionByName(open_.select("y", "x", "c", F.col("color").alias("v")))
 
 
 def structure_map(nodes: DataFrame, px: DataFrame, levels: int, deepest: int | None = None) -> DataFrame:

@@ -12,10 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from manyfold.functions import running
 from manyfold.storage import settle
 
-#: Levels that are folded together.
-STEP = 8
+#: Levels that are folded together, and edge blocks that are named in a filter; sorted keys have two at most.
+STEP, EDGES = 8, 64
 
 OPERATORS = {"gt": lambda c, t: c > t, "lt": lambda c, t: c < t}
 
@@ -48,21 +49,22 @@ def numbered(df: DataFrame, key: str, block: int) -> DataFrame:
     """``df`` with block_id, the place in key order divided by ``block``.
 
     Rows are ranged by key, counted within each range, and shifted by what the ranges before hold:
-    no window ever spans the table.
+    no window ever spans the table. A key of many rows is dealt to many ranges by a number of each row.
     """
-    ranged = settle(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()))
+    rows = settle(df.withColumn("_row", F.monotonically_increasing_id()))
+    ranged = settle(rows.repartitionByRange(key, "_row").sortWithinPartitions(key, "_row").withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))  # one row a partition
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(key, "_row")) - 1
     out = ranged.withColumn("_at", within).join(F.broadcast(before.select("_part", "_before")), "_part")
-    return out.withColumn("block_id", F.floor((F.col("_at") + F.coalesce("_before", F.lit(0))) / block).cast("long")).drop("_part", "_before", "_at")
+    return out.withColumn("block_id", F.floor((F.col("_at") + F.coalesce("_before", F.lit(0))) / block).cast("long")).drop("_part", "_before", "_at", "_row")
 
 
 def _folded(df: DataFrame, by: list[Column], raw: bool, key: str, column: str) -> DataFrame:
     if raw:
-        aggs = [F.sum(column).alias("total"), F.min(column).alias("low"), F.max(column).alias("high"), F.count(F.lit(1)).alias("n"), F.min(key).alias("kmin"), F.max(key).alias("kmax")]
+        aggs = [F.sum(column).alias("total"), F.min(column).alias("low"), F.max(column).alias("high"), F.count(F.lit(1)).alias("n"), F.count(column).alias("filled"), F.min(key).alias("kmin"), F.max(key).alias("kmax")]
     else:
-        aggs = [F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.min("kmin").alias("kmin"), F.max("kmax").alias("kmax")]
+        aggs = [F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.sum("filled").alias("filled"), F.min("kmin").alias("kmin"), F.max("kmax").alias("kmax")]
     return df.groupBy(*by).agg(*aggs)
 
 
@@ -99,7 +101,7 @@ class RangeRollup:
         counts = None
         if category is not None:
             counts = base.groupBy(F.col("block_id").alias("node"), F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("n"))
-        self = cls(base, key, column, nodes.select("level", "node", "total", "low", "high", "n", "kmin", "kmax"), counts, category)
+        self = cls(base, key, column, nodes.select("level", "node", "total", "low", "high", "n", "filled", "kmin", "kmax"), counts, category)
         self.fanout = fanout
         return self
 
@@ -109,14 +111,16 @@ class RangeRollup:
         """Base sorted by key in small row groups, so that a reader can skip; the rollup beside it."""
         rows = self.base.repartitionByRange("block_id").sortWithinPartitions(self.key)
         rows.write.mode("overwrite").option("parquet.block.row.count.limit", "16384").option("parquet.page.row.count.limit", "1024").parquet(f"{path}/base")
-        self.nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+        self.nodes.repartitionByRange("level", "node").sortWithinPartitions("level", "node").write.mode("overwrite").parquet(f"{path}/nodes")
         if self.categories is not None:
-            self.categories.write.mode("overwrite").parquet(f"{path}/categories")
+            self.categories.repartitionByRange("category", "node").sortWithinPartitions("category", "node").write.mode("overwrite").parquet(f"{path}/categories")
 
     @classmethod
-    def read(cls, spark, path: str, key: str, column: str, category: str | None = None) -> RangeRollup:
+    def read(cls, spark, path: str, key: str, column: str, category: str | None = None, fanout: int = 2) -> RangeRollup:
         load = lambda name: spark.read.parquet(f"{path}/{name}")
-        return cls(load("base"), key, column, load("nodes"), load("categories") if category else None, category)
+        self = cls(load("base"), key, column, load("nodes"), load("categories") if category else None, category)
+        self.fanout = fanout
+        return self
 
     def _inside(self, lo, hi) -> Column:
         return (F.col("kmin") >= lo) & (F.col("kmax") <= hi)
@@ -128,14 +132,18 @@ class RangeRollup:
         held = inside.withColumn("_parent", F.floor(F.col("node") / self.fanout))
         return held.join(parent, ["level", "_parent"], "left_anti").drop("_parent")
 
-    def edges(self, lo, hi) -> list[int]:
-        """Blocks that reach into the range without lying in it: two at most where keys are sorted."""
+    def edges(self, lo, hi) -> DataFrame:
+        """(block_id) of blocks that reach into the range without lying in it: two at most where keys are sorted."""
         reach = (F.col("kmax") >= lo) & (F.col("kmin") <= hi) & ~self._inside(lo, hi)
-        return [r.node for r in self.nodes.where((F.col("level") == 0) & reach).select("node").collect()]
+        return self.nodes.where((F.col("level") == 0) & reach).select(F.col("node").alias("block_id"))
 
     def _edge_rows(self, lo, hi) -> DataFrame:
-        blocks = self.edges(lo, hi)
+        """Rows of the edge blocks within the range: a filter on their numbers, or a join if keys are so unsorted that there are many."""
+        edges = self.edges(lo, hi)
+        blocks = [r.block_id for r in edges.limit(EDGES + 1).collect()]
         rows = self.base.where(F.col(self.key).between(lo, hi))
+        if len(blocks) > EDGES:
+            return rows.join(edges, "block_id", "left_semi")
         return rows.where(F.col("block_id").isin(blocks)) if blocks else rows.where(F.lit(False))
 
     def aggregate_range(self, lo, hi) -> DataFrame:
@@ -156,11 +164,11 @@ class RangeRollup:
         return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
     def filter_count(self, op: str, value) -> DataFrame:
-        """Rows above or below a value: blocks entirely on one side are counted or skipped, the rest are read."""
+        """Rows above or below a value: blocks entirely on one side are counted or skipped, the rest are read. A null is on neither side."""
         threshold(self.column, op, value)
         whole, none = ((F.col("low") > value), (F.col("high") <= value)) if op == "gt" else ((F.col("high") < value), (F.col("low") >= value))
         blocks = self.nodes.where(F.col("level") == 0)
-        counted = blocks.where(whole).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+        counted = blocks.where(whole).agg(F.coalesce(F.sum("filled"), F.lit(0)).alias("n"))
         mixed = blocks.where(~whole & ~none).select(F.col("node").alias("block_id"))
         read = self.base.join(mixed, "block_id", "left_semi").where(threshold(self.column, op, value)).agg(F.count(F.lit(1)).alias("n"))
         return counted.unionByName(read).agg(F.sum("n").alias("n"))
@@ -177,15 +185,14 @@ class RangeRollup:
 
 
 def prefix_sums(df: DataFrame, order: str, value: str, block: int, also: DataFrame | None = None) -> DataFrame:
-    """(block, upto, total): sums of blocks of ``order`` and of all blocks before. Only the blocks' own table is ordered.
+    """(block, upto, total): sums of blocks of ``order`` and of all blocks before, ordered run by run.
 
     Blocks in ``also`` (block) that hold no rows get a row too, of total 0.
     """
     sums = df.groupBy(F.floor(F.col(order) / block).alias("block")).agg(F.sum(value).alias("total"))
     if also is not None:
         sums = sums.unionByName(also.select("block").distinct().join(sums, "block", "left_anti").withColumn("total", F.lit(0)))
-    upto = F.coalesce(F.sum("total").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return sums.select("block", upto.alias("upto"), "total")
+    return running.before(sums, "block", "total", "upto").select("block", "upto", "total")
 
 
 def batch_range_sums(df: DataFrame, ranges: DataFrame, order: str, value: str, block: int) -> DataFrame:

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from manyfold.storage import settle
 
-#: Levels that a walk goes down at most; a cycle ends there.
-DEEPEST = 10_000
-
 
 def root(spans: DataFrame) -> DataFrame:
     """The first span without a parent."""
@@ -44,37 +41,48 @@ def longest_child(spans: DataFrame) -> DataFrame:
     return best.select("parent", F.col("m.id").alias("child"))
 
 
-def _walk(start: DataFrame, edges: DataFrame, deepest: int) -> DataFrame:
-    """(span_id, depth) reached from ``start`` along (parent, child), level by level; a span counts where it is first met."""
-    level = settle(start.select("span_id", F.lit(0).alias("depth")))
-    seen = level
-    for depth in range(1, deepest + 1):
-        below = edges.join(level, edges["parent"] == level["span_id"]).select(F.col("child").alias("span_id")).distinct()
-        level = settle(below.join(seen.select("span_id"), "span_id", "left_anti").withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            return seen
-        seen = seen.unionByName(level)
-    return seen
-
-
-def critical_path(spans: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """(span_id, depth) from the root down, always to the longest child."""
-    return _walk(root(spans), settle(longest_child(spans)), deepest)
-
-
-def subtree(spans: DataFrame, span_id, deepest: int = DEEPEST) -> DataFrame:
-    """(span_id, depth) of a span and all below it; nothing for an unknown one."""
-    edges = spans.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("parent"), F.col("span_id").alias("child"))
-    return _walk(spans.where(F.col("span_id") == span_id).select("span_id"), edges, deepest)
-
-
-def subtree_sql(spark, spans: DataFrame, span_id, levels: int = 1000) -> DataFrame:
-    """The same by one recursive query; for trees, as a cycle would run until ``levels`` and fail."""
-    spans.createOrReplaceTempView("_spans")
-    start = f"'{span_id}'" if isinstance(span_id, str) else span_id
-    return spark.sql(f"""WITH RECURSIVE down(span_id, depth) MAX RECURSION LEVEL {levels} AS (
-        SELECT span_id, 0 FROM _spans WHERE span_id = {start}
-        UNION ALL SELECT s.span_id, d.depth + 1 FROM _spans s JOIN down d ON s.parent_id = d.span_id) SELECT * FROM down""")
+def _rounds(spans: DataFrame) -> int:
+    """Doublings after which any way without a cycle has ended."""
+    return max(1, spans.count()).bit_length() + 1
+
+
+def critical_path(spans: DataFrame) -> DataFrame:
+    """(span_id, depth) from the root down, always to the longest child.
+
+    Each round doubles what is known of the way and the reach of the jumps along it, so a path of any depth takes
+    as many rounds as its length has bits. ValueError if span ids repeat so that the way runs in a circle.
+    """
+    jump = settle(longest_child(spans).toDF("from", "to"))
+    way = settle(root(spans).withColumn("depth", F.lit(0)))
+    for k in range(_rounds(spans)):
+        reach = 1 << k
+        found = settle(way.join(jump, way["span_id"] == jump["from"]).select(F.col("to").alias("span_id"), (F.col("depth") + reach).cast("int").alias("depth")))
+        if found.isEmpty():
+            return way
+        way = settle(way.unionByName(found))
+        twice = jump.select(F.col("from").alias("mid"), F.col("to").alias("end"))
+        jump = settle(jump.join(twice, jump["to"] == twice["mid"]).select("from", F.col("end").alias("to")))
+    raise ValueError("the way down runs in a circle")
+
+
+def subtree(spans: DataFrame, span_id) -> DataFrame:
+    """(span_id, depth) of a span and all below it, at any depth; nothing for an unknown one. A cycle ends where it meets the span again.
+
+    Every span points to an ancestor, twice as far up each round, until the wanted one lies within reach; spans whose
+    ancestors end before drop out.
+    """
+    known = F.when(F.col("span_id") == span_id, 0).when(F.col("parent_id") == span_id, 1).cast("int")
+    state = settle(spans.select("span_id", F.col("parent_id").alias("up"), known.alias("depth")).where("depth is not null or up is not null"))
+    for k in range(_rounds(spans)):
+        reach = 1 << k
+        above = state.select(F.col("span_id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        open_ = state.where("depth is null").join(above, F.col("up") == F.col("_id")).select("span_id", F.col("_up").alias("up"), (F.col("_depth") + reach).cast("int").alias("depth"))
+        done = state.where("depth is not null")
+        after = settle(done.unionByName(open_.where("depth is not null or up is not null")))
+        if after.where("depth is not null").count() == done.count():
+            break
+        state = after
+    return state.where("depth is not null").select("span_id", "depth").distinct()
 
 
 def with_payload(found: DataFrame, payloads: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from manyfold.operators import claims as C
 from manyfold.queries.registry import query, table
+from manyfold.sources import stores
+from manyfold.storage import scratch
 
 #: fact, agent, value, confidence, place of the agent, time: the last order of a customer and priority is what that agent believes.
 B = """WITH b AS (SELECT fact, agent, value, confidence, ord, seq FROM (
@@ -46,7 +48,12 @@ v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS rn
 
 @query("S8_last_wins_beliefs", B + "SELECT fact, agent, value, confidence::DOUBLE AS confidence FROM b")
 def _(spark, sf):
-    return beliefs(spark, sf).select("fact", "agent", "value", F.col("confidence").cast("double").alias("confidence"))
+    """Everything that was ever said goes to the store; what is read last wins."""
+    said = orders(spark, sf).select(F.col("agent"), F.col("fact").cast("string").alias("fact"), "value", F.col("confidence").cast("double").alias("confidence"), F.col("seq").alias("ts"), "seq")
+    path = scratch(spark)
+    stores.write(said, "beliefs", path)
+    last = C.last_wins(stores.read(spark, "beliefs", path), ["fact", "agent"], "seq")
+    return last.select(F.col("fact").cast("long").alias("fact"), "agent", "value", "confidence")
 
 
 @query("W1_last_wins", B + "SELECT count(*) AS n, sum(seq)::BIGINT AS seqs FROM b")

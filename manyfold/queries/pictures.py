@@ -8,6 +8,8 @@ from manyfold.operators import layers as L
 from manyfold.operators import raster as R
 from manyfold.queries.registry import query, table
 from manyfold.sources import generate as G
+from manyfold.sources import trees as T
+from manyfold.storage import scratch
 
 N, SIDE = 6, 64
 
@@ -17,6 +19,7 @@ KINDS = {
     "shapes": "CASE WHEN x >= 16 AND x < 32 AND y >= 16 AND y < 32 THEN 200 WHEN (x - 48) * (x - 48) + (y - 32) * (y - 32) < 4096 / 36.0 THEN 140 ELSE 30 END",
     "noise": G.SCATTER_SQL.format(x=f"(y * {SIDE} + x)", seed=3) + " % 256",
     "checker": "CASE WHEN (x // 8 + y // 8) % 2 = 0 THEN 220 ELSE 20 END",
+    "rings": f"floor(127 + 120 * sin(sqrt((x - {SIDE // 2}) * (x - {SIDE // 2}) + (y - {SIDE // 2}) * (y - {SIDE // 2})) / 3.0::DOUBLE))",
 }
 
 
@@ -99,14 +102,41 @@ def _(spark, sf):
     return R.tree(R.leaf_ends(flat, N).unionByName(ramps), N)
 
 
-@query("O12_rate_distortion")
+RAMP_SQL = "greatest(0, least(255, round_even((tl.v * (s - dy) * (s - dx) + tr.v * (s - dy) * dx + bl.v * dy * (s - dx) + br.v * dy * dx)::DOUBLE / (s * s), 0)))::INT"
+
+
+def lossy_sql(kind, t, criterion="max"):
+    """fin: the cheaper tree of the one without cosines and the one with them; back: the pixels that cosines give."""
+    error = "max(abs(v - r))" if criterion == "max" else "sqrt(avg(pow(v - r, 2)))"
+    own = "CASE type WHEN 'LEAF' THEN 3 WHEN 'RAMP' THEN 12 WHEN 'DCT' THEN 96 WHEN 'INTERNAL' THEN 3 ELSE 0 END"
+    parts = [px_sql(kind), LEV, UP, PYR, ends_sql(t, True), TREE]
+    parts.append("bs AS MATERIALIZED (SELECT side, u.range::INT AS u, p.range::INT AS p, cos(pi() * (2 * p.range + 1) * u.range / (2 * side)) * sqrt((CASE WHEN u.range = 0 THEN 1 ELSE 2 END) / side::DOUBLE) AS b FROM (VALUES (8), (16), (32)) s(side) CROSS JOIN range(4) u CROSS JOIN range(32) p WHERE p.range < side)")
+    parts.append(f"cells AS MATERIALIZED (SELECT n.level, n.i, n.j, p.c, s.side, p.y - n.i * s.side AS dy, p.x - n.j * s.side AS dx, p.v FROM tree n JOIN (VALUES (8), (16), (32)) s(side) ON s.side = 1 << ({N} - n.level) JOIN px p ON p.y // s.side = n.i AND p.x // s.side = n.j WHERE n.type = 'INTERNAL')")
+    parts.append("co AS MATERIALIZED (SELECT level, i, j, c, cells.side, y.u, x.u AS w, greatest(-32768, least(32767, round_even(round(sum((v - 128.0::DOUBLE) * y.b * x.b), 9), 0)))::INT AS coef FROM cells JOIN bs y ON y.side = cells.side AND y.p = dy JOIN bs x ON x.side = cells.side AND x.p = dx GROUP BY level, i, j, c, cells.side, y.u, x.u)")
+    parts.append("back AS MATERIALIZED (SELECT level, i, j, c, y.p AS dy, x.p AS dx, greatest(0, least(255, round_even(round(sum(coef * y.b * x.b) + 128, 9), 0)))::INT AS r FROM co JOIN bs y ON y.side = co.side AND y.u = co.u JOIN bs x ON x.side = co.side AND x.u = co.w GROUP BY level, i, j, c, y.p, x.p)")
+    parts.append(f"fit AS MATERIALIZED (SELECT level, i, j FROM cells JOIN back USING (level, i, j, c, dy, dx) GROUP BY level, i, j HAVING {error} <= {t})")
+    for k in range(N, -1, -1):
+        below = f"LEFT JOIN (SELECT i // 2 AS i, j // 2 AS j, sum(cost) AS below FROM c{k + 1} GROUP BY ALL) b ON b.i = n.i AND b.j = n.j" if k < N else ""
+        more = " + CASE WHEN type = 'INTERNAL' THEN 1 + coalesce(below, 0) ELSE 0 END" if k < N else ""
+        parts.append(f"c{k} AS MATERIALIZED (SELECT i, j, swap, CASE WHEN swap THEN 96 ELSE own END AS cost FROM (SELECT n.i, n.j, {own}{more} AS own, f.level IS NOT NULL AND ({own}{more}) > 96 AS swap FROM tree n {below} LEFT JOIN fit f ON f.level = n.level AND f.i = n.i AND f.j = n.j WHERE n.level = {k}))")
+    swaps = " UNION ALL ".join(f"SELECT {k} AS level, i, j FROM c{k} WHERE swap" for k in range(N + 1))
+    parts.append(f"swaps AS MATERIALIZED ({swaps})")
+    parts.append("en2 AS MATERIALIZED (SELECT k.level, k.i, k.j, k.type FROM kept k ANTI JOIN swaps s ON s.level = k.level AND s.i = k.i AND s.j = k.j UNION ALL SELECT level, i, j, 'DCT' FROM swaps)")
+    again = TREE.replace("top AS", "top2 AS").replace("FROM top t", "FROM top2 t").replace("en e", "en2 e").replace("kept AS", "kept2 AS").replace("FROM kept", "FROM kept2").replace("tree AS", "tree2 AS")
+    parts.append(again)
+    size = lambda name, per: f"(SELECT count(*) FILTER (type = 'INTERNAL') * {per} + sum({own}) FROM {name})"
+    parts.append(f"fin AS MATERIALIZED (SELECT * FROM tree2 WHERE {size('tree2', 4)} < {size('tree', 1)} UNION ALL SELECT * FROM tree WHERE {size('tree2', 4)} >= {size('tree', 1)})")
+    return "WITH " + ", ".join(parts) + " "
+
+
+@query("O12_rate_distortion", lossy_sql("rings", 48) + "SELECT level, type, count(*) AS n FROM fin GROUP BY ALL")
 def _(spark, sf):
-    return R.encode(one(spark, "rings"), N, lossy=True, threshold=24.0).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return R.encode(one(spark, "rings"), N, lossy=True, threshold=48.0).groupBy("level", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("O11b_dct_rms_criterion")
+@query("O11b_dct_rms_criterion", lossy_sql("rings", 24, "rms") + "SELECT level, type, count(*) AS n FROM fin GROUP BY ALL")
 def _(spark, sf):
-    return R.encode(one(spark, "rings"), N, lossy=True, threshold=24.0, criterion="rms").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return R.encode(one(spark, "rings"), N, lossy=True, threshold=24.0, criterion="rms").groupBy("level", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("A24_node_counts", head("checker") + "SELECT level, type, count(*) AS n FROM tree GROUP BY ALL")
@@ -124,10 +154,18 @@ def _(spark, sf):
     return R.nodes_in(R.quadtree(one(spark, "shapes"), N).where("type = 'LEAF'"), N, 10, 20, 20, 20).select("level", "i", "j")
 
 
+def stored(spark, tree, **head):
+    """Coded nodes written to a folder, and read from there."""
+    path = scratch(spark)
+    T.write(tree, T.Head(SIDE, SIDE, N, **head), path)
+    return path
+
+
 @query("O7_preview", head("shapes") + "SELECT u.y, u.x, CASE WHEN t.type = 'INTERNAL' THEN round_even(p.mean, 0)::INT ELSE p.low END AS v FROM up u JOIN tree t ON t.level = u.level AND t.i = u.i AND t.j = u.j JOIN pyr p ON p.level = t.level AND p.i = t.i AND p.j = t.j WHERE t.level <= 3 AND (t.type <> 'INTERNAL' OR t.level = 3)")
 def _(spark, sf):
     px = one(spark, "shapes")
-    return R.preview(R.quadtree(px, N), R.pyramid(px, N), px, N, 3).select("y", "x", "v")
+    path = stored(spark, R.coded(R.quadtree(px, N), px, N))
+    return R.preview(T.read(spark, path, 3)[1], N, 3).select("y", "x", "v")
 
 
 for _kind in ("shapes", "gradient", "noise"):
@@ -135,7 +173,18 @@ for _kind in ("shapes", "gradient", "noise"):
     @query(f"O8_decode_{_kind}", "WITH " + px_sql(_kind) + " SELECT y, x, v FROM px")
     def _(spark, sf, kind=_kind):
         px = one(spark, kind)
-        return R.decode(R.encode(px, N), px, N, R.pyramid(px, N)).select("y", "x", "v")
+        path = stored(spark, R.coded(R.encode(px, N), px, N))
+        return R.decode(T.read(spark, path)[1], N).select("y", "x", "v")
+
+
+@query("O8_decode_lossy", lossy_sql("rings", 48) + f""", placed AS MATERIALIZED (SELECT u.y, u.x, u.c, f.level, f.i, f.j, f.type, (1 << ({N} - f.level)) - 1 AS s, u.y - f.i * (1 << ({N} - f.level)) AS dy, u.x - f.j * (1 << ({N} - f.level)) AS dx FROM up u JOIN fin f ON f.level = u.level AND f.i = u.i AND f.j = u.j WHERE f.type <> 'INTERNAL')
+SELECT a.y, a.x, round_even(p.mean, 0)::INT AS v FROM placed a JOIN pyr p ON p.level = a.level AND p.i = a.i AND p.j = a.j WHERE a.type = 'LEAF'
+UNION ALL SELECT a.y, a.x, {RAMP_SQL} FROM placed a JOIN px tl ON tl.y = a.i * (s + 1) AND tl.x = a.j * (s + 1) JOIN px tr ON tr.y = a.i * (s + 1) AND tr.x = a.j * (s + 1) + s JOIN px bl ON bl.y = a.i * (s + 1) + s AND bl.x = a.j * (s + 1) JOIN px br ON br.y = a.i * (s + 1) + s AND br.x = a.j * (s + 1) + s WHERE a.type = 'RAMP'
+UNION ALL SELECT a.y, a.x, b.r FROM placed a JOIN back b ON b.level = a.level AND b.i = a.i AND b.j = a.j AND b.dy = a.dy AND b.dx = a.dx WHERE a.type = 'DCT'""")
+def _(spark, sf):
+    px = one(spark, "rings")
+    path = stored(spark, R.coded(R.encode(px, N, lossy=True, threshold=48.0), px, N, lossy=True), lossy=True, threshold=48.0)
+    return R.decode(T.read(spark, path)[1], N).select("y", "x", "v")
 
 
 @query("J10_pixels_in_leaves", head("shapes") + "SELECT u.level, u.i, u.j, count(*) AS n FROM up u JOIN tree t ON t.level = u.level AND t.i = u.i AND t.j = u.j WHERE t.type = 'LEAF' GROUP BY ALL")
@@ -159,16 +208,7 @@ def _(spark, sf):
     return stores.offsets(sized, "level", "nth", "size").select("level", "i", "j", "offset")
 
 
-@query("W7_seeks", """WITH b AS (SELECT event_id AS nth, strlen(props) AS size, sum(strlen(props)) OVER (ORDER BY event_id) - strlen(props) AS off FROM events), r AS (SELECT * FROM b WHERE nth % 100 < 7),
-x AS (SELECT *, lag(off + size) OVER (ORDER BY off) AS before FROM r) SELECT count(*) FILTER (before IS NULL OR before <> off) AS seeks, sum(size)::BIGINT AS bytes FROM x""")
-def _(spark, sf):
-    from manyfold.operators import ranges_read as Q
-
-    blocks = table(spark, sf, "events").select(F.col("event_id").alias("nth"), F.octet_length("props").alias("size"))
-    return Q.seeks(Q.placed(blocks, "nth", "size", 4096).where("nth % 100 < 7"))
-
-
-@query("W7_seeks_by_type", """WITH b AS (SELECT event_id AS nth, event_type, strlen(props) AS size, sum(strlen(props)) OVER (ORDER BY event_id) - strlen(props) AS off FROM events), r AS (SELECT * FROM b WHERE event_type = 'error'),
+@query("W7_seeks", """WITH b AS (SELECT event_id AS nth, event_type, strlen(props) AS size, sum(strlen(props)) OVER (ORDER BY event_id) - strlen(props) AS off FROM events), r AS (SELECT * FROM b WHERE event_type = 'error'),
 x AS (SELECT *, lag(off + size) OVER (ORDER BY off) AS before FROM r) SELECT count(*) FILTER (before IS NULL OR before <> off) AS seeks, sum(size)::BIGINT AS bytes FROM x""")
 def _(spark, sf):
     from manyfold.operators import ranges_read as Q
@@ -217,11 +257,20 @@ def _(spark, sf):
     return R.dct_coefficients(tiles(spark, sf), 8, ["vec_id"])
 
 
-@query("O11_dct_error")
+TILE_BACK = f"{TILE}, {BASIS}, co AS MATERIALIZED (SELECT vec_id, y.u, x.u AS w, round_even(round(sum((v - 128.0::DOUBLE) * y.b * x.b), 9), 0)::INT AS coef FROM px JOIN b y ON y.p = dy JOIN b x ON x.p = dx GROUP BY vec_id, y.u, x.u), back AS (SELECT vec_id, y.p AS dy, x.p AS dx, greatest(0, least(255, round_even(round(sum(coef * y.b * x.b) + 128, 9), 0)))::INT AS r FROM co JOIN b y ON y.u = co.u JOIN b x ON x.u = co.w GROUP BY vec_id, y.p, x.p), er AS (SELECT vec_id, max(abs(v - r)) AS worst, sqrt(avg(pow(v - r, 2))) AS rms FROM px JOIN back USING (vec_id, dy, dx) GROUP BY vec_id)"
+
+
+@query("O11_dct_error", TILE_BACK + " SELECT vec_id, worst::DOUBLE AS error FROM er")
+def _(spark, sf):
+    return R.block_error(tiles(spark, sf), 8, ["vec_id"])
+
+
+@query("X2_fit_criterion", TILE_BACK + " SELECT vec_id, worst <= 24 AS by_worst, round(rms, 6) <= 8 AS by_rms FROM er")
 def _(spark, sf):
+    """Which tiles cosines may stand for, by either criterion."""
     px = tiles(spark, sf)
-    back = R.dct_pixels(R.dct_coefficients(px, 8, ["vec_id"]), 8, ["vec_id"]).withColumnRenamed("v", "r")
-    return px.join(back, ["vec_id", "dy", "dx"]).groupBy("vec_id").agg(F.max(F.abs(F.col("v") - F.col("r"))).alias("error"))
+    worst, rms = (R.block_error(px, 8, ["vec_id"], criterion=c).withColumnRenamed("error", c) for c in ("max", "rms"))
+    return worst.join(rms, "vec_id").select("vec_id", (F.col("max") <= 24).alias("by_worst"), (F.round("rms", 6) <= 8).alias("by_rms"))
 
 
 # ---- layers and film
@@ -264,7 +313,15 @@ def _(spark, sf):
     return L.measure(stack(spark), N, derived=[1]).select("shared_struct", "shared_payload")
 
 
-@query("O17_refinements")
+_REFINED = layers_sql(False) + """, nodes AS (SELECT layer, level, i, j, 0 AS inner_n, 1 AS leaf_n FROM kept UNION ALL SELECT layer, level, i, j, 1, 0 FROM inner_nodes),
+base AS (SELECT level, i, j FROM kept WHERE layer = 0), own AS (SELECT b.level, b.i, b.j, o.layer FROM base b CROSS JOIN (SELECT DISTINCT layer FROM nodes WHERE layer <> 0) o),
+got AS (SELECT n.layer, b.level, b.i, b.j, sum(inner_n) AS inner_n, sum(leaf_n) AS leaf_n FROM base b JOIN nodes n ON n.layer <> 0 AND n.level >= b.level AND n.i // (1 << (n.level - b.level)) = b.i AND n.j // (1 << (n.level - b.level)) = b.j GROUP BY ALL),
+r AS (SELECT coalesce(sum(g.inner_n), 0) AS struct, sum(coalesce(g.leaf_n, 1)) AS payload FROM own o LEFT JOIN got g ON g.layer = o.layer AND g.level = o.level AND g.i = o.i AND g.j = o.j),
+s AS (SELECT (SELECT count(*) FROM inner_nodes WHERE layer = 0) AS base_struct, (SELECT count(*) FROM base) AS base_payload, (SELECT count(*) FROM nodes) AS own_total, r.* FROM r)
+SELECT base_struct, struct::BIGINT AS refine_struct, (base_payload + payload)::BIGINT AS payload, own_total, round(own_total / (base_struct + struct + base_payload + payload)::DOUBLE, 6) AS ratio FROM s"""
+
+
+@query("O17_refinements", _REFINED)
 def _(spark, sf):
     return L.measure_refined(stack(spark), N)
 
@@ -315,35 +372,58 @@ def _(spark, sf):
     return L.temporal_cost(R.delta(film(spark)).select("frame", "layer", "y", "x", "c", "d"), FN, 6.0)
 
 
-@query("R3_union_cost")
+_UNION = FILM + f""", lev AS (SELECT range::INT AS level FROM range({FN + 1})), up AS MATERIALIZED (SELECT frame, layer, y, x, v, level, y // (1 << ({FN} - level)) AS i, x // (1 << ({FN} - level)) AS j FROM px CROSS JOIN lev),
+one AS (SELECT frame, layer, level, i, j, max(v) - min(v) <= 6 AS flat FROM up GROUP BY ALL), fl AS (SELECT frame, level, i, j, bool_and(flat) AS flat FROM one GROUP BY ALL), en AS MATERIALIZED (SELECT * FROM fl WHERE flat OR level = {FN}),
+top AS (SELECT u.frame, u.y, u.x, min(e.level) AS level FROM up u JOIN en e ON e.frame = u.frame AND e.level = u.level AND e.i = u.i AND e.j = u.j GROUP BY u.frame, u.y, u.x),
+kept AS MATERIALIZED (SELECT DISTINCT frame, level, y // (1 << ({FN} - level)) AS i, x // (1 << ({FN} - level)) AS j FROM top),
+inner_nodes AS (SELECT DISTINCT k.frame, a.level, k.i // (1 << (k.level - a.level)) AS i, k.j // (1 << (k.level - a.level)) AS j FROM kept k JOIN lev a ON a.level < k.level)
+SELECT s.frame, s.n AS struct, m.n * 2 AS payload FROM (SELECT frame, count(*) AS n FROM inner_nodes GROUP BY frame) s JOIN (SELECT frame, count(*) AS n FROM kept GROUP BY frame) m ON m.frame = s.frame"""
+
+
+@query("R3_union_cost", _UNION)
 def _(spark, sf):
     return L.union_cost(film(spark), FN, 6.0)
 
 
-@query("S14_level_table", head("shapes", 0, True) + "SELECT level, count(*) FILTER (type = 'INTERNAL') AS opened, sum(CASE type WHEN 'LEAF' THEN 3 WHEN 'RAMP' THEN 12 ELSE 3 END)::BIGINT AS data_bytes FROM tree GROUP BY level")
+@query("S14_level_table", head("shapes", 0, True) + "SELECT level, count(*) FILTER (type = 'INTERNAL') AS structure, sum(CASE type WHEN 'LEAF' THEN 3 WHEN 'RAMP' THEN 12 ELSE 3 END)::BIGINT AS data FROM tree GROUP BY level")
 def _(spark, sf):
-    return R.encode(one(spark, "shapes"), N).groupBy("level").agg(F.count_if(F.col("type") == "INTERNAL").alias("opened"), F.sum(R.payload_bytes()).alias("data_bytes"))
+    """The level table as the head of a written picture holds it."""
+    px = one(spark, "shapes")
+    _, sizes = T.head_of(spark, stored(spark, R.coded(R.encode(px, N), px, N)))
+    return spark.createDataFrame(sizes, "level int, structure long, data long")
 
 
-@query("O24_codec_tasks")
+@query("S14_heads", "SELECT * FROM (VALUES ('a picture', false), ('another table', true), ('other colours', true), ('another format', true)) v(what, refused)")
 def _(spark, sf):
-    out = None
-    for kind in ("flat", "gradient", "shapes", "checker"):
-        px = one(spark, kind)
-        tree = R.encode(px, N)
-        row = tree.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("nodes"), (F.count_if(F.col("type") == "INTERNAL") + F.sum(R.payload_bytes())).alias("bytes"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    px = one(spark, "flat")
+    good = stored(spark, R.coded(R.encode(px, N), px, N))
+    head = spark.read.parquet(f"{good}/head")
+    cases = {"a picture": head, "another table": table(spark, sf, "region"), "other colours": head.withColumn("colors", F.lit("cmyk")), "another format": head.withColumn("format", F.lit("x"))}
+    out = []
+    for what, df in cases.items():
+        path = scratch(spark)
+        df.write.mode("overwrite").parquet(f"{path}/head")
+        try:
+            T.head_of(spark, path)
+            out.append((what, False))
+        except ValueError:
+            out.append((what, True))
+    return spark.createDataFrame(out, "what string, refused boolean")
+
+
+def _codec_sql(kind):
+    return f"SELECT * FROM ({head(kind, 0, True)} SELECT '{kind}' AS kind, count(*) AS nodes, (count(*) FILTER (type = 'INTERNAL') + sum(CASE type WHEN 'LEAF' THEN 3 WHEN 'RAMP' THEN 12 ELSE 3 END))::BIGINT AS bytes, {SIDE * SIDE} AS raw FROM tree)"
+
 
+CODEC_KINDS = ("flat", "gradient", "shapes", "checker", "noise")
 
-@query("X2_fit_criterion", "SELECT true AS rms_is_milder, true AS others_are_refused")
+
+@query("O24_codec_tasks", " UNION ALL ".join(_codec_sql(k) for k in CODEC_KINDS))
 def _(spark, sf):
-    px = one(spark, "rings")
-    nodes = R.pyramid(px, N).select("level", "i", "j").distinct()
-    worst, mean = (R.dct_error(px, nodes, N, c).withColumnRenamed("error", c) for c in ("max", "rms"))
-    milder = worst.join(mean, ["level", "i", "j"]).agg(F.bool_and(F.col("rms") <= F.col("max")).alias("rms_is_milder"))
-    try:
-        R.dct_error(px, nodes, N, "median")
-    except ValueError:
-        return milder.withColumn("others_are_refused", F.lit(True))
-    return milder.withColumn("others_are_refused", F.lit(False))
+    """Nodes and bytes of each picture's tree beside its raw bytes."""
+    out = None
+    for kind in CODEC_KINDS:
+        tree = R.encode(one(spark, kind), N)
+        row = tree.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("nodes"), (F.count_if(F.col("type") == "INTERNAL") + F.sum(R.payload_bytes())).alias("bytes"), F.lit(SIDE * SIDE).alias("raw"))
+        out = row if out is None else out.unionByName(row)
+    return out

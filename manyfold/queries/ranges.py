@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from manyfold.operators import rollup as R
 from manyfold.queries.registry import query, table
 from manyfold.sources import generate as G
+from manyfold.storage import written
 
 LO, HI, BLOCK = 1500, 7300, 1024
 r4 = lambda c, name: F.round(c, 4).alias(name)
@@ -16,8 +17,14 @@ def events(spark, sf):
     return table(spark, sf, "events").withColumn("trend", F.col("event_id") * 0.1 + F.col("value"))
 
 
-def rollup(spark, sf, column="value"):
-    return R.RangeRollup.build(events(spark, sf), "event_id", column, BLOCK, "event_type", F.floor(F.col("event_id") / BLOCK))
+def rollup(spark, sf, column="value", block=BLOCK, fanout=2):
+    """The rollup of a column as it lies on disk, written by the first who asks."""
+
+    def write(path):
+        R.RangeRollup.build(events(spark, sf), "event_id", column, block, "event_type", F.floor(F.col("event_id") / block), fanout=fanout).write(path)
+
+    path = written(spark, f"rollup-{column}-{block}-{fanout}", sf, write)
+    return R.RangeRollup.read(spark, path, "event_id", column, "event_type", fanout)
 
 
 S = lambda inner: f"SELECT * FROM ({inner}) t"
@@ -60,7 +67,7 @@ def _(spark, sf):
     return events(spark, sf).groupBy(F.floor(F.col("event_id") / BLOCK).alias("block")).agg(r4(F.sum("value"), "total"))
 
 
-_LEVELS = "UNION ALL ".join(f"SELECT {k} AS level, event_id // {BLOCK << k} AS node, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high, count(*) AS n, min(event_id) AS kmin, max(event_id) AS kmax FROM events GROUP BY ALL " for k in range(5))
+_LEVELS = "UNION ALL ".join(f"SELECT {k} AS level, event_id // {BLOCK << k} AS node, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high, count(*) AS n, count(value) AS filled, min(event_id) AS kmin, max(event_id) AS kmax FROM events GROUP BY ALL " for k in range(5))
 
 
 @query("A1_build_rollup", _LEVELS)
@@ -125,6 +132,13 @@ def _(spark, sf):
     return rollup(spark, sf).filter_count("lt", 20.0)
 
 
+@query("F14_prune_with_nulls", "SELECT count(*) AS n FROM events WHERE CASE WHEN event_id % 5000 < 2000 THEN event_id * 0.1 + value WHEN event_id % 2 = 0 THEN event_id * 0.1 + value END > 400")
+def _(spark, sf):
+    some = F.when((F.col("event_id") % 5000 < 2000) | (F.col("event_id") % 2 == 0), F.col("trend"))
+    gaps = events(spark, sf).withColumn("some", some)
+    return R.RangeRollup.build(gaps, "event_id", "some", BLOCK, None, F.floor(F.col("event_id") / BLOCK)).filter_count("gt", 400.0)
+
+
 @query("F15_prune_range_count", f"SELECT count(*) AS n FROM events WHERE event_id BETWEEN {LO} AND {HI}")
 def _(spark, sf):
     return rollup(spark, sf).range_count(LO, HI)
@@ -132,7 +146,7 @@ def _(spark, sf):
 
 @query("A25_range_sum_half_open", "SELECT round(coalesce(sum(value), 0), 4)::DOUBLE AS total FROM events WHERE event_id >= 123 AND event_id < 5678")
 def _(spark, sf):
-    b = R.RangeRollup.build(events(spark, sf), "event_id", "value", 32, None, F.floor(F.col("event_id") / 32), fanout=32)
+    b = rollup(spark, sf, "value", 32, 32)
     return b.aggregate_range(123, 5677).select(r4(F.col("total"), "total"))
 
 
@@ -141,7 +155,7 @@ SELECT (SELECT count(*) FROM events WHERE value > 90) AS n, sum(CASE WHEN high >
 def _(spark, sf):
     from manyfold.plans import movement as M
 
-    b = R.RangeRollup.build(events(spark, sf), "event_id", "value", 32, None, F.floor(F.col("event_id") / 32), fanout=32)
+    b = rollup(spark, sf, "value", 32, 32)
     cost = b.nodes.where("level = 0").agg(F.sum(F.when(F.col("high") > 90, M.lines(F.col("n") * 4)).otherwise(0)).cast("long").alias("bytes_read"), (F.count(F.lit(1)) * 4).alias("bytes_index"))
     return b.filter_count("gt", 90.0).crossJoin(cost)  # one row each
 
@@ -178,8 +192,3 @@ def _(spark, sf):
 def _(spark, sf):
     e = events(spark, sf).withColumn("block", F.floor(F.col("event_id") / 4096))
     return e.cube("block", "event_type").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("gid"))
-
-
-@query("E1_approximate")
-def _(spark, sf):
-    return events(spark, sf).groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5).alias("median"))

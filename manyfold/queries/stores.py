@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from manyfold.operators import memory as M
@@ -12,14 +10,7 @@ from manyfold.operators import paths as P
 from manyfold.operators import trace as T
 from manyfold.queries.registry import query, table
 from manyfold.sources import stores
-
-
-def scratch(spark) -> str:
-    """A folder for a store: shared by the executors where the cluster names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-
-    return f"{shared}/stores/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="manyfold-store-")
+from manyfold.storage import scratch, settle, written
 
 
 def memories(spark, sf):
@@ -28,6 +19,16 @@ def memories(spark, sf):
     return e.select(F.col("event_id").cast("string").alias("id"), ts.alias("ts"), F.col("event_type").alias("kind"), F.col("props").alias("text"), F.concat(F.lit("src"), (F.col("event_id") % 13).cast("string")).alias("source"), F.create_map(F.lit("value"), F.col("value").cast("string")).alias("meta"), F.col("event_id").alias("seq"), F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("topic"))
 
 
+def memory_store(spark, sf):
+    """The memories as they lie in their store, sorted by topic."""
+    return stores.read(spark, "memories", written(spark, "memories", sf, lambda path: stores.write(memories(spark, sf), "memories", path)))
+
+
+def memory_places(spark, sf):
+    """The topic of each id, sorted by id."""
+    return stores.read(spark, "places", written(spark, "places", sf, lambda path: stores.write(M.id_index(memory_store(spark, sf)), "places", path)))
+
+
 MEM = "WITH m AS (SELECT event_id::VARCHAR AS id, epoch_us(ts) / 1e6 AS ts, event_type AS kind, props AS text, 'src' || (event_id % 13) AS source, event_id AS seq, 'user' || user_id AS topic FROM events)\n"
 
 
@@ -40,18 +41,18 @@ def _(spark, sf):
 @query("S9_memory_store", MEM + "SELECT topic, count(*) AS n FROM m GROUP BY topic")
 def _(spark, sf):
     path = scratch(spark)
-    stores.write(memories(spark, sf).where("seq % 10 < 10"), "memories", path)
+    stores.write(memories(spark, sf), "memories", path)
     return stores.read(spark, "memories", path).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("F8_recall", MEM + "SELECT id, kind, text FROM m WHERE topic = 'user7'")
 def _(spark, sf):
-    return M.recall(memories(spark, sf), "user7").select("id", "kind", "text")
+    return M.recall(memory_store(spark, sf), "user7").select("id", "kind", "text")
 
 
 @query("F9_since", MEM + "SELECT id, topic, kind FROM m WHERE ts >= 1704844800")
 def _(spark, sf):
-    m = memories(spark, sf)
+    m = memory_store(spark, sf)
     return M.since(m, 1704844800.0, M.topic_summary(m)).select("id", "topic", "kind")
 
 
@@ -59,26 +60,17 @@ def _(spark, sf):
 def _(spark, sf):
     from pyspark.sql import Window
 
-    return M.recall(memories(spark, sf), "user7").select("id", F.row_number().over(Window.partitionBy("topic").orderBy("ts", "seq")).alias("place"))
+    return M.recall(memory_store(spark, sf), "user7").select("id", F.row_number().over(Window.partitionBy("topic").orderBy("ts", "seq")).alias("place"))
 
 
 @query("F10_provenance", MEM + "SELECT id, topic, source, round(ts, 3) AS ts, kind FROM m WHERE id = '77'")
 def _(spark, sf):
-    m = memories(spark, sf)
-    return M.provenance(m, M.id_index(m), "77").withColumn("ts", F.round("ts", 3))
-
-
-@query("J5_id_index_join", MEM + "SELECT m.topic, count(*) AS n FROM m WHERE seq % 97 = 0 GROUP BY m.topic")
-def _(spark, sf):
-    m = memories(spark, sf)
-    wanted = M.id_index(m).join(m.where("seq % 97 = 0").select("id"), "id", "left_semi")
-    return m.join(wanted, ["id", "topic"]).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    return M.provenance(memory_store(spark, sf), memory_places(spark, sf), "77").withColumn("ts", F.round("ts", 3))
 
 
-@query("J5_id_index_join_all", MEM + "SELECT m.topic, count(*) AS n FROM m GROUP BY m.topic")
+@query("J5_id_index_join", MEM + "SELECT m.topic, count(*) AS n FROM m GROUP BY m.topic")
 def _(spark, sf):
-    m = memories(spark, sf)
-    return m.join(M.id_index(m), ["id", "topic"]).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    return memory_store(spark, sf).join(memory_places(spark, sf), ["id", "topic"]).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("S19_json_lines", MEM + "SELECT kind, count(*) AS n FROM m GROUP BY kind")
@@ -118,6 +110,10 @@ def tensors(spark, sf):
     return p.select(name.alias("name"), F.array(F.octet_length("p_name")).alias("shape"), F.lit("float16").alias("dtype"), F.lit("raw").alias("codec"), (F.octet_length("p_name") * 2).cast("long").alias("nbytes"), data.alias("data"))
 
 
+def tensor_store(spark, sf):
+    return stores.read(spark, "tensors", written(spark, "tensors", sf, lambda path: stores.write(tensors(spark, sf), "tensors", path)))
+
+
 @query("S11_tensor_store", TEN + "SELECT count(*) AS n, sum(nbytes)::BIGINT AS nbytes FROM t")
 def _(spark, sf):
     path = scratch(spark)
@@ -125,43 +121,51 @@ def _(spark, sf):
     return stores.read(spark, "tensors", path).agg(F.count(F.lit(1)).alias("n"), F.sum("nbytes").alias("nbytes"))
 
 
-@query("S12_reader_checks_schema", "SELECT true AS refused")
+@query("S12_reader_checks_schema", """WITH want(store, name) AS (VALUES ('tensors', 'name'), ('tensors', 'shape'), ('tensors', 'dtype'), ('tensors', 'codec'), ('tensors', 'nbytes'), ('tensors', 'data'), ('places', 'id'), ('places', 'topic')),
+have AS (SELECT 'region' AS source, unnest(['r_regionkey', 'r_name']) AS name UNION ALL SELECT 'nation', unnest(['n_nationkey', 'n_name', 'n_regionkey']) UNION ALL SELECT 'part', unnest(['id', 'topic', 'p_size']))
+SELECT s.source, w.store, count(*) FILTER (h.name IS NULL) > 0 AS refused FROM (SELECT DISTINCT source FROM have) s CROSS JOIN want w LEFT JOIN have h ON h.source = s.source AND h.name = w.name GROUP BY ALL""")
 def _(spark, sf):
-    path = scratch(spark)
-    table(spark, sf, "region").write.mode("overwrite").parquet(path)
-    try:
-        stores.read(spark, "tensors", path)
-    except ValueError:
-        return spark.sql("select true as refused")
-    return spark.sql("select false as refused")
+    """Folders that are and aren't the store that they are asked for."""
+    text = lambda c: F.col(c).cast("string")
+    sources = {"region": table(spark, sf, "region"), "nation": table(spark, sf, "nation"), "part": table(spark, sf, "part").select(text("p_partkey").alias("id"), text("p_brand").alias("topic"), "p_size")}
+    out = []
+    for source, df in sources.items():
+        path = scratch(spark)
+        df.write.mode("overwrite").parquet(path)
+        for store in ("tensors", "places"):
+            try:
+                stores.read(spark, store, path)
+                out.append((source, store, False))
+            except ValueError:
+                out.append((source, store, True))
+    return spark.createDataFrame(out, "source string, store string, refused boolean")
 
 
 @query("S13_full_read", TEN + "SELECT name, nbytes FROM t")
 def _(spark, sf):
-    return tensors(spark, sf).select("name", F.octet_length("data").cast("long").alias("nbytes"))
+    return tensor_store(spark, sf).select("name", F.octet_length("data").cast("long").alias("nbytes"))
 
 
-@query("F12_tensor", TEN + "SELECT name, nbytes FROM t WHERE name LIKE '%.p17'")
+@query("F12_tensor", TEN + "SELECT name, nbytes FROM t WHERE name = (SELECT min(name) FROM t)")
 def _(spark, sf):
-    t = tensors(spark, sf)
-    name = t.where(F.col("name").endswith(".p17")).select("name").first()
-    return P.tensor(t, name.name if name else "").select("name", "nbytes")
+    t = tensor_store(spark, sf)
+    return P.tensor(t, t.agg(F.min("name")).first()[0] or "").select("name", "nbytes")
 
 
 @query("F13_prefix", TEN + "SELECT 'layer' AS what, name FROM t WHERE starts_with(name, 'model.layers.1.') UNION ALL SELECT 'expert', name FROM t WHERE starts_with(name, 'model.layers.10.mlp.experts.3.')")
 def _(spark, sf):
-    t = tensors(spark, sf)
+    t = tensor_store(spark, sf)
     return P.layer(t, 1).select(F.lit("layer").alias("what"), "name").unionByName(P.expert(t, 10, 3).select(F.lit("expert").alias("what"), "name"))
 
 
 @query("A21_tensor_summary", TEN + "SELECT name, dtype, nbytes::BIGINT AS nbytes, round(nbytes / 1e6, 2) AS mb FROM t")
 def _(spark, sf):
-    return P.summary(tensors(spark, sf))
+    return P.summary(tensor_store(spark, sf))
 
 
 @query("A21_tensor_total", TEN + "SELECT count(*) AS n, sum(nbytes)::BIGINT AS nbytes, round(sum(nbytes) / 1e6, 1) AS mb FROM t")
 def _(spark, sf):
-    return P.total(tensors(spark, sf))
+    return P.total(tensor_store(spark, sf))
 
 
 # ---- spans
@@ -237,7 +241,7 @@ def _(spark, sf):
 
 @query("J4_subtree_recursive", _SUB + "SELECT span_id, depth FROM d")
 def _(spark, sf):
-    return T.subtree_sql(spark, spans(spark, sf), 5)
+    return T.subtree(spans(spark, sf), 5)
 
 
 @query("F11_service", SP + "SELECT span_id, props FROM s WHERE service = 'error'")
@@ -278,6 +282,12 @@ def leaves(spark, sf, tampered: bool = False):
     return d.select(F.col("doc_id").alias("idx"), text.cast("binary").alias("item"))
 
 
+def merkle(spark, sf, tampered: bool = False):
+    """(tree, root) over the texts, built by the first who asks."""
+    path = written(spark, f"merkle-{tampered}", sf, lambda path: K.build(leaves(spark, sf, tampered)).write.mode("overwrite").parquet(path))
+    tree = spark.read.schema("level int, idx long, hash binary").parquet(path)
+    return tree, bytes.fromhex(K.commit(tree).first().root)
+
 
 def _hex(df):
     return df.withColumn("hash", F.lower(F.hex("hash")))
@@ -298,52 +308,50 @@ _PADS = "CASE w.level " + " ".join(f"WHEN {i} THEN '{p.hex()}'" for i, p in enum
 
 @query("O5_merkle_proof", MK + f", w AS (SELECT range::INT AS level, xor(17 >> range::INT, 1)::BIGINT AS idx FROM range(20) CROSS JOIN dl WHERE range < depth) SELECT w.level, w.idx, coalesce(lower(hex(t.hash)), {_PADS}) AS hash FROM w LEFT JOIN tl t ON t.level = w.level AND t.idx = w.idx")
 def _(spark, sf):
-    return _hex(K.prove(K.build(leaves(spark, sf)), 17))
-
-
-@query("O5_merkle_verify", "SELECT doc_id AS idx, doc_id <> 123 AS valid FROM documents WHERE doc_id % 41 = 0")
-def _(spark, sf):
-    tree = K.build(leaves(spark, sf))
-    root = bytes.fromhex(K.commit(tree).first().root)
-    chosen = leaves(spark, sf, True).where("idx % 41 = 0")
-    return K.verify_all(chosen, K.prove_each(tree, chosen), F.lit(root))
+    return _hex(K.prove(merkle(spark, sf)[0], 17))
 
 
-@query("O5_merkle_verify_all", "SELECT doc_id AS idx, doc_id <> 123 AS valid FROM documents")
+@query("O5_merkle_verify", "SELECT doc_id AS idx, doc_id <> 123 AS valid FROM documents")
 def _(spark, sf):
-    tree = K.build(leaves(spark, sf))
-    root = bytes.fromhex(K.commit(tree).first().root)
+    tree, root = merkle(spark, sf)
     every = leaves(spark, sf, True)
     return K.verify_all(every, K.prove_each(tree, every), F.lit(root))
 
 
-@query("O6_merkle_multiproof", "SELECT true AS whole, false AS forged, 37::BIGINT AS indices")
+@query("O6_merkle_multiproof", MK2 + """, w AS (SELECT l0.idx, l0.hash <> x0.hash AS changed FROM l0 JOIN x0 ON x0.idx = l0.idx WHERE l0.idx BETWEEN 100 AND 136)
+SELECT count(*) = 37 AS whole, NOT bool_or(changed) AS forged, count(*) AS indices FROM w""")
 def _(spark, sf):
-    tree, wanted = K.build(leaves(spark, sf)), list(range(100, 137))
-    root, depth = bytes.fromhex(K.commit(tree).first().root), K.depth_of(tree)
-    helpers = K.prove_many(tree, wanted)
+    wanted = list(range(100, 137))
+    tree, root = merkle(spark, sf)
+    depth, helpers = K.depth_of(tree), settle(K.prove_many(tree, wanted))
     ok = [K.verify_many(leaves(spark, sf, t).where(F.col("idx").isin(wanted)), helpers, root, depth, wanted) for t in (False, True)]
     return spark.createDataFrame([(ok[0], ok[1], len(wanted))], "whole boolean, forged boolean, indices long")
 
 
-@query("U3_same_indices", "SELECT count(*) = 0 AS same FROM ((SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM documents WHERE doc_id >= 0) UNION ALL (SELECT doc_id FROM documents WHERE doc_id >= 0 EXCEPT SELECT doc_id FROM documents))")
+@query("U3_same_indices", """SELECT 'labels' AS other, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_left, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS only_right
+UNION ALL SELECT 'embeddings', (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT vec_id + 7 FROM embeddings)), (SELECT count(*) FROM (SELECT vec_id + 7 FROM embeddings EXCEPT SELECT doc_id FROM documents))
+UNION ALL SELECT 'itself', (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM documents)), 0""")
 def _(spark, sf):
-    a = leaves(spark, sf).select("idx")
-    b = a.where("idx >= 0")
-    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg((F.count(F.lit(1)) == 0).alias("same"))
+    a = leaves(spark, sf)
+    others = {"labels": table(spark, sf, "labels").select(F.col("doc_id").alias("idx")), "embeddings": table(spark, sf, "embeddings").select((F.col("vec_id") + 7).alias("idx")), "itself": a}
+    out = None
+    for name, b in others.items():
+        one = K.same_indices(a, b).select(F.lit(name).alias("other"), "only_left", "only_right")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("O6b_locate_tamper", "SELECT 123::BIGINT AS idx")
+@query("O6b_locate_tamper", MK2 + "SELECT min(l0.idx) AS idx FROM l0 JOIN x0 ON x0.idx = l0.idx WHERE l0.hash <> x0.hash")
 def _(spark, sf):
-    return K.locate_tamper(K.build(leaves(spark, sf)), K.build(leaves(spark, sf, True)))
+    return K.locate_tamper(merkle(spark, sf)[0], merkle(spark, sf, True)[0])
 
 
 @query("J7_differing_nodes", MK2 + "SELECT a.level, a.idx FROM tl a JOIN tx b ON b.level = a.level AND b.idx = a.idx AND b.hash <> a.hash")
 def _(spark, sf):
-    return K.descend(K.build(leaves(spark, sf)), K.build(leaves(spark, sf, True)))
+    return K.descend(merkle(spark, sf)[0], merkle(spark, sf, True)[0])
 
 
-@query("O6c_full_audit", "SELECT true AS whole, false AS tampered")
+@query("O6c_full_audit", MK2 + "SELECT (SELECT count(*) = 0 FROM l0 a JOIN l0 b ON b.idx = a.idx WHERE a.hash <> b.hash) AS whole, (SELECT count(*) = 0 FROM l0 JOIN x0 ON x0.idx = l0.idx WHERE l0.hash <> x0.hash) AS tampered")
 def _(spark, sf):
-    root = K.commit(K.build(leaves(spark, sf))).first().root
+    root = merkle(spark, sf)[1].hex()
     return spark.createDataFrame([(K.full_audit(leaves(spark, sf), root), K.full_audit(leaves(spark, sf, True), root))], "whole boolean, tampered boolean")

@@ -11,8 +11,8 @@ from manyfold.operators import claims as C
 from manyfold.plans import movement as V
 from manyfold.queries.claims import B, beliefs
 from manyfold.queries.registry import query, table
-from manyfold.queries.stores import scratch
 from manyfold.sources import generate as G
+from manyfold.storage import scratch, settle, written
 from manyfold.streaming import detect
 
 X = lambda x, seed: G.SCATTER_SQL.format(x=x, seed=seed)
@@ -57,22 +57,31 @@ def _(spark, sf):
     return M.inverted(concepts(spark), "id", "prims").groupBy("item").agg(F.count(F.lit(1)).alias("n"))
 
 
-def building(spark):
-    i = F.col("id")
-    return spark.range(4000).select("id", *(F.lpad(F.concat(F.lit(n), i.cast("string")), w, "-").alias(n) for n, w in (("geometry", 2048), ("thermal", 120), ("cost", 80), ("structural", 150))))
+WIDTHS = {"geometry": 2048, "thermal": 120, "cost": 80, "structural": 150}
+
+
+def building(spark, sf):
+    """Elements with four layers of fixed widths, one for each part."""
+    p = table(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("id"), *(F.rpad(F.concat(F.lit(n), "p_name"), w, "-").alias(n) for n, w in WIDTHS.items()))
+
+
+def element_store(spark, sf):
+    path = written(spark, "elements", sf, lambda path: building(spark, sf).repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(path))
+    return spark.read.parquet(path)
 
 
-@query("S17_element_store", "SELECT 4000::BIGINT AS n, 480000::BIGINT AS thermal_bytes")
+_WIDE = lambda n: f"rpad('{n}' || p_name, {WIDTHS[n]}, '-')"
+
+
+@query("S17_element_store", f"SELECT count(*) AS n, sum(strlen({_WIDE('thermal')}))::BIGINT AS thermal_bytes, min({_WIDE('thermal')}) AS first FROM part")
 def _(spark, sf):
-    path = scratch(spark)
-    building(spark).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).select("thermal").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("thermal")).alias("thermal_bytes"))
+    return element_store(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("thermal")).alias("thermal_bytes"), F.min("thermal").alias("first"))
 
 
-@query("F17_selected_layers", "SELECT 'cost' AS layer, 320000::BIGINT AS bytes UNION ALL SELECT 'structural', 600000::BIGINT")
+@query("F17_selected_layers", f"SELECT p_partkey AS id, {_WIDE('cost')} AS cost, {_WIDE('structural')} AS structural FROM part")
 def _(spark, sf):
-    sizes = building(spark).agg(*(F.sum(F.octet_length(c)).alias(c) for c in ("cost", "structural")))
-    return sizes.select(F.explode(F.array(*(F.struct(F.lit(c).alias("layer"), F.col(c).alias("bytes")) for c in ("cost", "structural")))).alias("r")).select("r.*")
+    return element_store(spark, sf).select("id", "cost", "structural")
 
 
 @query("F18_scoped_section", "SELECT conv_id, turn, text FROM conversations WHERE conv_id = (SELECT conv_id FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) ORDER BY n DESC, conv_id LIMIT 1)")
@@ -126,8 +135,6 @@ def _(spark, sf):
 
 @query("X5_soft_labels")
 def _(spark, sf):
-    from manyfold.storage import settle
-
     rows = distributions(spark, sf)
     info = table(spark, sf, "customer").select(F.col("c_custkey").alias("fact"), F.array(F.col("c_acctbal") / 10000, F.col("c_nationkey") / 25.0).alias("x"))
     scored = learn.out_of_fold(settle(rows.join(info, "fact")), "fact", "x", "dist", 3)
@@ -229,16 +236,19 @@ def _(spark, sf):
     return sums.withColumn("place", F.rank().over(Window.orderBy(F.desc("mult"))))  # four rows
 
 
-def _parts(n, chunk, d, copied):
-    emb = d * 4
-    return [("text", n * chunk, True), ("vectors", n * emb, True), ("graph", n * 32 * 8, True), ("words", n * 200, True), ("fields", n * 50, True), ("vector copies", n * emb if copied else 0, False), ("text copies", n * chunk, False), ("cache", n * emb // 20, False), ("previews", n * 100, False)]
-
-
-@query("A31_duplicated_share", " UNION ALL ".join(f"SELECT '{'with' if copied else 'without'}' AS scenario, {sum(b for _, b, _ in _parts(10**7, 512, 1024, copied))}::BIGINT AS total, {sum(b for _, b, keep in _parts(10**7, 512, 1024, copied) if not keep)}::BIGINT AS copies" for copied in (True, False)))
+@query("A31_duplicated_share", """WITH c AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(strlen(text)) FROM documents) AS text, (SELECT max(len(embedding)) FROM embeddings) * 4 AS emb),
+p AS (SELECT s.scenario, unnest([text, n * emb, n * 256, n * 200, n * 50]) AS needed, unnest([CASE WHEN s.scenario = 'with' THEN n * emb ELSE 0 END, text, n * emb // 20, n * 100, 0]) AS spare FROM c CROSS JOIN (VALUES ('with'), ('without')) s(scenario))
+SELECT scenario, sum(needed + spare)::BIGINT AS total, sum(spare)::BIGINT AS copies FROM p GROUP BY scenario""")
 def _(spark, sf):
-    rows = [("with" if copied else "without", *r) for copied in (True, False) for r in _parts(10**7, 512, 1024, copied)]
-    df = spark.createDataFrame(rows, "scenario string, part string, bytes long, needed boolean")
-    return df.groupBy("scenario").agg(F.sum("bytes").alias("total"), F.sum(F.when(~F.col("needed"), F.col("bytes")).otherwise(0)).alias("copies"))
+    """Bytes of a retrieval service over the documents, and those that only repeat others: with and without vectors stored twice."""
+    docs = table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("text"))
+    size = docs.crossJoin(table(spark, sf, "embeddings").agg((F.max(F.size("embedding")) * 4).alias("emb")))  # one row each
+    n, emb, part = F.col("n"), F.col("emb"), lambda b, needed: F.struct(b.cast("long").alias("bytes"), F.lit(needed).alias("needed"))
+    every = size.withColumn("scenario", F.explode(F.array(F.lit("with"), F.lit("without"))))
+    copied = F.when(F.col("scenario") == "with", n * emb).otherwise(0)
+    held = [part(F.col("text"), True), part(n * emb, True), part(n * 256, True), part(n * 200, True), part(n * 50, True), part(copied, False), part(F.col("text"), False), part(F.floor(n * emb / 20), False), part(n * 100, False)]
+    rows = every.select("scenario", F.explode(F.array(*held)).alias("p")).select("scenario", "p.*")
+    return rows.groupBy("scenario").agg(F.sum("bytes").alias("total"), F.sum(F.when(~F.col("needed"), F.col("bytes")).otherwise(0)).alias("copies"))
 
 
 @query("A36_routed_sizes", "SELECT event_type, sum(least(strlen(props), 40, CASE WHEN value < 10 THEN 3 ELSE 1000 END))::BIGINT + 13 * count(*) + 32 AS bytes FROM events GROUP BY event_type")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from manyfold.functions import running
+
 
 def scatter(x: Column, seed: int = 0) -> Column:
     """An even-looking number from 0 to 999,999 for a whole number below two billion."""
@@ -20,7 +22,8 @@ def event_log(spark: SparkSession, n: int, regions: int = 8, block: int = 4096)
     Keys are running sums of the gaps: summed per block first, so that no window spans the table.
     """
     rows = spark.range(n).select("id", (scatter(F.col("id")) % 19 + 1).alias("gap"), F.floor(F.col("id") / block).alias("block"))
-    before = rows.groupBy("block").agg(F.sum("gap").alias("s")).select("block", F.coalesce(F.sum("s").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    sums = rows.groupBy("block").agg(F.sum("gap").alias("s"))
+    before = running.before(sums, "block", "s", "before", block, (0, max(0, n - 1) // block)).select("block", "before")
     within = F.sum("gap").over(Window.partitionBy("block").orderBy("id"))
     keyed = rows.withColumn("within", within).join(before, "block").withColumn("key", F.col("before") + F.col("within"))
     noise = scatter(F.col("id"), 77) % 601 / 10.0 - 30

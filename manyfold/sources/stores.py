@@ -16,11 +16,13 @@ SCHEMAS = {
     "memories": "id string, ts double, kind string, text string, source string, meta map<string,string>, seq bigint, topic string",
     "spans": "span_id string, parent_id string, service string, operation string, start_us bigint, dur_us bigint, status string, seq bigint",
     "payloads": "span_id string, attributes map<string,string>, events array<struct<ts_us:bigint,name:string,level:string,message:string>>",
+    "places": "id string, topic string",
     "tensors": "name string, shape array<int>, dtype string, codec string, nbytes bigint, data binary",
 }
 #: The column that a store's folders are named by.
-FOLDERS = {"labels": "annotator", "memories": "topic"}
-SORTED = {"tensors": "name", "spans": "start_us", "items": "item_id", "payloads": "span_id", "beliefs": "fact"}
+FOLDERS = {"labels": "annotator"}
+#: What the other stores are ranged and sorted by, so that readers skip the files and row groups that they don't ask for.
+SORTED = {"tensors": ["name"], "spans": ["service", "start_us"], "items": ["item_id"], "payloads": ["span_id"], "beliefs": ["fact", "agent", "seq"], "memories": ["topic", "seq"], "places": ["id"]}
 
 
 def schema_of(store: str) -> StructType:
@@ -36,9 +38,9 @@ def write(df: DataFrame, store: str, path: str) -> None:
         raise ValueError(f"{store} has columns {wanted.names}, not {df.columns}")
     df = df.select(*(F.col(f.name).cast(f.dataType) for f in wanted))
     if store in FOLDERS:
-        df.repartition(FOLDERS[store]).sortWithinPartitions(FOLDERS[store], "seq").write.mode("overwrite").partitionBy(FOLDERS[store]).parquet(path)
+        df.repartitionByRange(FOLDERS[store], "seq").sortWithinPartitions(FOLDERS[store], "seq").write.mode("overwrite").partitionBy(FOLDERS[store]).parquet(path)
     else:
-        df.repartitionByRange(SORTED[store]).sortWithinPartitions(SORTED[store]).write.mode("overwrite").option("parquet.block.row.count.limit", "8192").parquet(path)
+        df.repartitionByRange(*SORTED[store]).sortWithinPartitions(*SORTED[store]).write.mode("overwrite").option("parquet.block.row.count.limit", "8192").parquet(path)
 
 
 def read(spark: SparkSession, store: str, path: str) -> DataFrame:

@@ -1,21 +1,49 @@
-"""Cutting lineage in a folder that all executors share."""
+"""Cutting lineage, and folders for stores, where all executors share them."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where none is set and driver and executors are one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="manyfold-")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the folder of spark.checkpoint.dir and read from there.
+    """The same rows, written once to the shared folder and read from there.
 
     Level-by-level algorithms call this now and then, so that their plans stay short and a lost executor
-    costs one level only. A folder of our own serves where none is set.
+    costs one level only.
     """
     spark = df.sparkSession
-    context = spark.sparkContext._jsc.sc()
-    if not context.getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="manyfold-"))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a store."""
+    return f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}"
+
+
+_written: dict[tuple, str] = {}
+
+
+def written(spark: SparkSession, name: str, source: str, write) -> str:
+    """The folder where ``write(path)`` has put the layout ``name`` of the tables in ``source``: written once a session, read by all that ask.
+
+    Tables don't change while a session looks at them; a changed table needs another folder or session.
+    """
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _written:
+        path = f"{scratch(spark)}/{name}"
+        write(path)
+        _written[key] = path
+    return _written[key]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from manyfold.operators import layers as L
 from manyfold.operators import raster as R
 from manyfold.sources import generate as G
+from manyfold.sources import trees as T
 from manyfold.storage import settle
 
 
@@ -25,18 +26,25 @@ def as_array(df, side):
     return out
 
 
-def blocks(a, y, x, s, ends, t=0):
-    """A recursive quadtree: (internal, leaves)."""
-    part = [z[y : y + s, x : x + s] for z in a]
-    if s == 1 or all(p.max() - p.min() <= t for p in part):
-        ends.append((y, x, s))
-        return 0, 1
-    h, total = s // 2, [1, 0]
-    for dy, dx in ((0, 0), (0, h), (h, 0), (h, h)):
-        i, n = blocks(a, y + dy, x + dx, h, ends, t)
-        total[0] += i
-        total[1] += n
-    return tuple(total)
+def even(a, t=0):
+    """By level, which squares of a picture spread over t at most; the last level's always do."""
+    side, out = len(a), []
+    for k in range(side.bit_length()):
+        s = side >> k
+        tiles = a.reshape(side // s, s, side // s, s)
+        out.append(tiles.max((1, 3)) - tiles.min((1, 3)) <= t)
+    return out
+
+
+def ends_of(pictures, t=0):
+    """(level, i, j) of the leaves of the tree that all pictures share, and the number of inner nodes, level by level over whole grids."""
+    flat = [np.logical_and.reduce(x) for x in zip(*(even(a, t) for a in pictures), strict=True)]
+    open_, leaves, inner = np.ones((1, 1), bool), set(), 0
+    for k, here in enumerate(flat):
+        leaves |= {(k, int(i), int(j)) for i, j in zip(*np.nonzero(open_ & here), strict=True)}
+        inner += int((open_ & ~here).sum())
+        open_ = np.kron(open_ & ~here, np.ones((2, 2), bool))
+    return leaves, inner
 
 
 def picture(seed, side=16):
@@ -51,13 +59,58 @@ def picture(seed, side=16):
 def test_quadtree_and_lossless_decode(spark):
     a = picture(1)
     px = settle(px_of(spark, a))
-    ends = []
-    internal, leaves = blocks([a], 0, 0, 16, ends)
+    leaves, inner = ends_of([a])
     nodes = R.quadtree(px, 4).collect()
-    assert sum(r.type == "INTERNAL" for r in nodes) == internal
-    assert {(r.i * (16 >> r.level), r.j * (16 >> r.level), 16 >> r.level) for r in nodes if r.type == "LEAF"} == set(ends)
-    tree, stats = settle(R.encode(px, 4)), R.pyramid(px, 4)
-    assert (as_array(R.decode(tree, px, 4, stats), 16) == a).all()
+    assert sum(r.type == "INTERNAL" for r in nodes) == inner
+    assert {(r.level, r.i, r.j) for r in nodes if r.type == "LEAF"} == leaves
+    tree = settle(R.coded(R.encode(px, 4), px, 4))
+    assert (as_array(R.decode(tree, 4), 16) == a).all()
+
+
+def test_pictures_come_back_from_disk(spark, tmp_path):
+    """Only what was written is read again: the picture itself is gone."""
+    path = f"{tmp_path}/tree"
+    for seed, (height, width) in enumerate([(16, 16), (5, 11), (1, 1), (9, 2)]):
+        a = np.random.default_rng(seed).integers(0, 3, (height, width)) * 100
+        levels = R.levels_of(height, width)
+        px = settle(R.padded(px_of(spark, a), height, width))
+        T.write(R.coded(R.encode(px, levels), px, levels), T.Head(width, height, levels), path)
+        head, tree = T.read(spark, path)
+        assert head == T.Head(width, height, levels)
+        back = as_array(R.decode(tree, levels), 1 << levels)
+        assert (back[:height, :width] == a).all() and (back[height:] == 0).all() and (back[:, width:] == 0).all()
+        for cut in range(levels + 1):
+            some = as_array(R.preview(T.read(spark, path, cut)[1], levels, cut), 1 << levels)
+            assert (some >= 0).all()  # every pixel once
+    with pytest.raises(ValueError):
+        T.write(tree, T.Head(9, 9, 1), path)
+    with pytest.raises(ValueError):
+        T.write(tree, T.Head(2, 9, 4, colors="cmyk"), path)
+
+
+def test_heads_are_checked(spark, tmp_path):
+    px = px_of(spark, picture(3))
+    T.write(R.coded(R.encode(px, 4), px, 4), T.Head(16, 16, 4), f"{tmp_path}/a")
+    head, sizes = T.head_of(spark, f"{tmp_path}/a")
+    nodes = R.encode(px, 4).collect()
+    assert sum(s for _, s, _ in sizes) == sum(r.type == "INTERNAL" for r in nodes)
+    assert [k for k, _, _ in sizes] == sorted({r.level for r in nodes})
+    for n, wrong in enumerate((F.lit("other").alias("format"), F.lit("cmyk").alias("colors"))):
+        df = spark.read.parquet(f"{tmp_path}/a/head")
+        df.withColumn(["format", "colors"][n], wrong).write.parquet(f"{tmp_path}/b{n}/head")
+        with pytest.raises(ValueError):
+            T.head_of(spark, f"{tmp_path}/b{n}")
+
+
+def test_lossy_pictures_stay_within_the_threshold(spark):
+    px = settle(G.image(spark, "rings", 32, 32).withColumn("c", F.lit(0)))
+    a = as_array(px, 32)
+    types = set()
+    for t in (6, 30, 60):
+        nodes = settle(R.encode(px, 5, lossy=True, threshold=float(t)))
+        types |= {r.type for r in nodes.select("type").distinct().collect()}
+        assert np.abs(as_array(R.decode(R.coded(nodes, px, 5, lossy=True), 5), 32) - a).max() <= t
+    assert {"LEAF", "DCT"} <= types
 
 
 def test_gradient_is_one_ramp(spark):
@@ -118,20 +171,19 @@ def test_cosines_only_if_smaller(spark):
     assert R.total_bytes(lossy, 4 if lossy.where("type = 'DCT'").count() else 1) <= R.total_bytes(plain, 1)
 
 
-def test_layers_against_recursion(spark):
+def test_layers_against_whole_grids(spark):
     a, b = picture(4), picture(5)
     px = settle(px_of(spark, a, layer=0).unionByName(px_of(spark, b, layer=1)))
-    union, one, two = blocks([a, b], 0, 0, 16, []), blocks([a], 0, 0, 16, []), blocks([b], 0, 0, 16, [])
+    union, one, two = ends_of([a, b]), ends_of([a]), ends_of([b])
     m = L.measure(px, 4).first()
-    assert (m.shared_struct, m.shared_payload, m.own_struct, m.own_payload) == (union[0], union[1] * 2, one[0] + two[0], one[1] + two[1])
-    ends = []
-    blocks([a], 0, 0, 16, ends)
+    assert (m.shared_struct, m.shared_payload, m.own_struct, m.own_payload) == (union[1], len(union[0]) * 2, one[1] + two[1], len(one[0]) + len(two[0]))
     struct = payload = 0
-    for y, x, s in ends:
-        i, n = blocks([b], y, x, s, [])
-        struct, payload = struct + i, payload + n
+    for k, i, j in one[0]:  # the other layer within each leaf of the base
+        s = 16 >> k
+        leaves, inner = ends_of([b[i * s : (i + 1) * s, j * s : (j + 1) * s]])
+        struct, payload = struct + inner, payload + len(leaves)
     r = L.measure_refined(px, 4).first()
-    assert (r.base_struct, r.refine_struct, r.payload) == (one[0], struct, one[1] + payload)
+    assert (r.base_struct, r.refine_struct, r.payload) == (one[1], struct, len(one[0]) + payload)
     rebuilt = settle(L.reconstruct(px, 4))
     assert (as_array(rebuilt.where("layer = 1"), 16) == b).all()
     refined = settle(L.reconstruct_refined(px, 4))

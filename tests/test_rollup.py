@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from manyfold.functions import running
 from manyfold.operators import rollup as R
 from manyfold.report import collect_with_report
 from manyfold.sources import generate as G
@@ -33,7 +34,7 @@ def test_ranges_equal_full_scans(built, log, ends):
     assert got.n == want[1] and got.low == want[2] and got.high == want[3]
     assert got.total == pytest.approx(want[0], rel=1e-9)
     assert built.range_count(lo, hi).first().n == want[1]
-    assert len(built.edges(lo, hi)) <= 2
+    assert built.edges(lo, hi).count() <= 2
 
 
 def test_empty_range(built):
@@ -98,3 +99,47 @@ def test_batches_over_gaps_and_past_the_end(spark):
     asked = [(0, 0, 10), (1, 8, 17), (2, 10, 12), (3, 12, 100), (4, 40, 90), (5, -3, 2)]
     got = {r.query: r.total for r in R.batch_range_sums(df, spark.createDataFrame(asked, "query int, lo long, hi long"), "id", "v", 32).collect()}
     assert got == {i: float(sum(x % 7 for x in ids if lo * 32 <= x < hi * 32)) for i, lo, hi in asked}
+
+
+def test_nulls_are_on_neither_side(spark):
+    df = spark.createDataFrame([(k, None if k % 2 else 100.0 if k < 60 else float(k)) for k in range(100)] + [(100 + k, None) for k in range(20)], "key long, v double")
+    r = R.RangeRollup.build(df, "key", "v", 10)
+    for op, value in (("gt", 50.0), ("gt", 70.0), ("lt", 200.0), ("lt", 90.0), ("gt", 1000.0)):
+        assert r.filter_count(op, value).first().n == R.filter_count(df, "v", op, value).first().n
+    assert r.aggregate_global().first().n == 120 and r.range_count(0, 9).first().n == 10
+
+
+def test_a_key_of_many_rows_is_divided(spark):
+    df = spark.createDataFrame([(7 if k % 3 else k, float(k)) for k in range(900)], "key long, v double")
+    rows = R.numbered(df, "key", 64).collect()
+    assert sorted(r.block_id for r in rows) == sorted(k // 64 for k in range(900))
+    ends = {}
+    for r in rows:
+        low, high = ends.get(r.block_id, (r.key, r.key))
+        ends[r.block_id] = (min(low, r.key), max(high, r.key))
+    order = [ends[b] for b in sorted(ends)]
+    assert all(a[1] <= b[0] for a, b in zip(order, order[1:], strict=False))
+
+
+def test_unsorted_keys_have_many_edges(spark, monkeypatch):
+    monkeypatch.setattr(R, "EDGES", 3)
+    df = spark.createDataFrame([(k * 37 % 400, float(k)) for k in range(400)], "key long, v double").withColumn("at", F.monotonically_increasing_id())
+    r = R.RangeRollup.build(df, "key", "v", 16, block_id=F.floor(F.col("v") / 16))
+    assert r.edges(50, 90).count() > 3
+    got = r.aggregate_range(50, 90).first()
+    want = [float(k) for k in range(400) if 50 <= k * 37 % 400 <= 90]
+    assert (got.n, got.total, got.low, got.high) == (len(want), sum(want), min(want), max(want))
+
+
+@pytest.mark.parametrize("width", [2, 5, 4096])
+def test_running_sums_by_runs(spark, width):
+    places = [3 * i + (i % 5 == 0) - 40 for i in range(230)]
+    df = spark.createDataFrame([(p, i % 11) for i, p in enumerate(places)], "place long, v long")
+    total, want = 0, {}
+    for i, p in enumerate(places):
+        want[p] = total
+        total += i % 11
+    assert {r.place: r.upto for r in running.before(df, "place", "v", "upto", width).collect()} == want
+    assert running.before(df.limit(0), "place", "v", "upto", width).count() == 0
+    texts = df.withColumn("place", F.format_string("%06d", F.col("place") + 100))
+    assert {int(r.place) - 100: r.upto for r in running.before_sorted(texts, "place", "v", "upto").collect()} == want

@@ -89,3 +89,35 @@ def test_soft_labels_score_every_fact(spark):
     facts = studies.distributions(spark, SF).count()
     rows = QUERIES["X5_soft_labels"](spark, SF).collect()
     assert {r.target: r.n for r in rows} == dict.fromkeys(learn.TARGETS, facts) and all(0 < r.jsd < 1 for r in rows)
+
+
+def test_baseline_of_long_and_hot_keys(spark):
+    """Keys that go over many ranges, over many blocks, ties in time and a null key."""
+    rows = [("hot", t // 2, float((t * 37) % 101)) for t in range(5000)] + [(f"k{t % 40}", t, float(t % 13)) for t in range(900)] + [(None, t, 1.0 + t) for t in range(70)]
+    want = {}
+    for key in {r[0] for r in rows}:
+        own = sorted((t, x) for k, t, x in rows if k == key)
+        want[key] = [(t, x, b, f) for (t, x), (_, b, f) in zip(own, folded(own), strict=True)]
+    df = spark.createDataFrame(rows, "key string, t long, x double").repartition(7)
+    got = {}
+    for r in M.ewma_flags(df, "key", "t", "x").collect():
+        got.setdefault(r.key, []).append((r.t, r.x, r.baseline, r.flag))
+    assert got.keys() == want.keys()
+    for key, series in want.items():
+        mine = sorted(got[key], key=lambda r: r[:2])
+        for a, b in zip(mine, series, strict=True):
+            if series.count(b) == 1 and sum(x[:2] == b[:2] for x in series) == 1:
+                assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-9)
+    assert M.ewma_flags(df.limit(0), "key", "t", "x").count() == 0
+
+
+def test_explained_variance(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6)) * [9, 5, 3, 1, 0.5, 0.1] @ np.linalg.qr(rng.normal(size=(6, 6)))[0]
+    values = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
+    got = learn.explained(spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>"), "v", 6)
+    assert np.allclose(got, np.cumsum(values) / values.sum())
+    dims = learn.dimensions(got)
+    assert dims == {s: int(np.searchsorted(np.cumsum(values) / values.sum(), s) + 1) for s in dims}
