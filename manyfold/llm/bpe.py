@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from manyfold.llm.common import id_text, slices, table
 
 #: Bytes of text that are worked on together; words of a text that are held at once; words that a worker remembers between slices.
-SLICE_CHARS, WORDS, MEMO = 1_000_000, 200_000, 120_000
+SLICE_CHARS, WORDS, MEMO = 2_000_000, 200_000, 250_000
 #: Bytes of a window of a long word, and how far one begins after the other; words up to WINDOW are whole.
 WINDOW, STEP = 256, 128
 #: Rows that the states of one recursive query may take together, and ids of one decoding query.
-STATES, IDS = 3_000_000, 500_000
+STATES, IDS = 6_000_000, 500_000
 
 # The letters, numbers and white space of code points below 256.
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
@@ -45,12 +45,12 @@ WITH RECURSIVE state AS (
   SELECT w, p, t, true AS live FROM start
   UNION ALL
   SELECT s.w, CASE WHEN s.p > b.at THEN s.p - 1 ELSE s.p END, CASE WHEN s.p = b.at THEN b.made ELSE s.t END, b.best IS NOT NULL
-  FROM state s JOIN (
+  FROM (SELECT w, p, t FROM state WHERE live) s LEFT JOIN (
     SELECT a.w, min(m.made::BIGINT * 1048576 + a.p) AS best, (best & 1048575)::INT AS at, (best >> 20)::INT AS made
     FROM (SELECT w, p, t, lead(t) OVER (ORDER BY w, p) AS t2, lead(w) OVER (ORDER BY w, p) AS w2 FROM state WHERE live) a
-    LEFT JOIN merges m ON m.l = a.t AND m.r = a.t2 AND a.w2 = a.w
+    JOIN merges m ON m.l = a.t AND m.r = a.t2 AND a.w2 = a.w
     GROUP BY a.w) b ON b.w = s.w
-  WHERE s.live AND (b.best IS NULL OR s.p <> b.at + 1)
+  WHERE b.best IS NULL OR s.p <> b.at + 1
 )
 SELECT w, p, t FROM state WHERE NOT live ORDER BY w, p
 """
