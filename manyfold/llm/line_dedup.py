@@ -121,6 +121,19 @@ def _packed(odd: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view("<i8")[:, 0]
 
 
+_arrays: dict[int, tuple] = {}
+
+
+def _plan_arrays(length: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """plan() as arrays: how many entries, which come first, and seeds, starts and stops."""
+    if length not in _arrays:
+        own, others = plan(length)
+        if len(_arrays) > 20_000:
+            _arrays.clear()
+        _arrays[length] = (len(own), *np.array(own + others, np.int64).reshape(-1, 3).T)
+    return _arrays[length]
+
+
 def _runs(lines: list[str]) -> Iterator[list[int]]:
     """Places of neighbouring lines that have BLOCK characters together; a longer line stands alone."""
     held, size = [], 0
@@ -151,23 +164,21 @@ def marks(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], dtype=np.uint64)])
         first, at = np.cumsum(size) - size, np.array(held)
         for length in np.unique(size).tolist():
-            own, others = plan(length)
-            if not own:
+            n_own, seed, start, stop = _plan_arrays(length)
+            if not n_own:
                 continue
-            seed, start, stop = (np.array(x, np.int64) for x in zip(*own, *others, strict=True))
             which = np.flatnonzero(size == length)
             a, b = first[which][:, None] + start, first[which][:, None] + stop
             value = (sums[b] - sums[a]) * down[a]
             sig = _mixed(value + seed.astype(np.uint64) * np.uint64(SEED))
-            entry = np.broadcast_to(np.arange(len(seed)) < len(own), sig.shape)
+            entry = np.broadcast_to(np.arange(len(seed)) < n_own, sig.shape)
             yield np.repeat(at[which], len(seed)), sig.ravel(), entry.ravel(), np.repeat(sk[which], len(seed))
 
 
 def _marks_of_one(at: int, line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The same of one long line, BLOCK characters at a time."""
     up, _ = _power_tables()
-    own, others = plan(len(line))
-    seed, start, stop = (np.array(x, np.int64) for x in zip(*own, *others, strict=True))
+    n_own, seed, start, stop = _plan_arrays(len(line))
     places = np.unique(np.concatenate([start, stop]))
     sums, odd = {0: 0}, np.zeros(64, np.int64)
     total, scale = 0, 1
@@ -181,7 +192,7 @@ def _marks_of_one(at: int, line: str) -> tuple[np.ndarray, np.ndarray, np.ndarra
         scale = scale * pow(BASE, len(codes), 1 << 64) & WRAP
     value = np.array([(sums[b] - sums[a]) * pow(UNBASE, a, 1 << 64) & WRAP for a, b in zip(start.tolist(), stop.tolist(), strict=True)], np.uint64)
     sig = _mixed(value + seed.astype(np.uint64) * np.uint64(SEED))
-    return np.full(len(sig), at), sig, np.arange(len(sig)) < len(own), np.repeat(_packed(odd), len(sig))
+    return np.full(len(sig), at), sig, np.arange(len(sig)) < n_own, np.repeat(_packed(odd), len(sig))
 
 
 def within(a: str, b: str, t: int) -> bool:
@@ -267,15 +278,17 @@ def signatures(df: DataFrame, met=None) -> DataFrame:
             if len(seen) > 200_000:
                 seen.clear()  # a line may then come again, which costs a row and changes nothing
             hashes = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)[:, 0]
+            found = []
             for line, sig, entry, sk in marks(lines):
                 if met is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.where(entry, ENTRY, 1))], ["sig", "n"])
+                    found.append((sig.view(np.int64), np.where(entry, ENTRY, 1)))
                     continue
                 bit = sig % np.uint64(MEETING)
                 hit = (met.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                 if hit.any():
-                    sk = np.where(entry, sk, sk | np.int64(-(1 << PROBE)))
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[hit].view(np.int64)), pa.array(hashes[line[hit]]), pa.array(sk[hit])], ["sig", "h", "sk"])
+                    found.append((sig[hit].view(np.int64), hashes[line[hit]], np.where(entry[hit], sk[hit], sk[hit] | np.int64(-(1 << PROBE)))))
+            if found:  # one batch a slice: many small ones would cost more than all the rest
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["sig", "n"] if met is None else ["sig", "h", "sk"])
 
     return df.mapInArrow(run, "sig long, n long" if met is None else "sig long, h long, sk long")
 
