@@ -3,7 +3,7 @@
 A line of length L within t edits of another leaves one of its t + 1 segments whole, near
 its place. Segments of every line are its index entries; substrings of the lines that are
 as long or a little longer, at the places where a whole segment may have moved to, probe them.
-Entries and probes meet by a hash of (length, segment number, characters), worked out from running sums. A 64-bit sketch,
+Entries and probes meet by a hash of (length, segment number, characters). A 64-bit sketch,
 the parity of each kind of character, differs in two bits an edit at most and
 sifts the pairs that meet; what is left is verified by banded bit-parallel edit distance.
 """
@@ -78,60 +78,8 @@ PROBE, ENTRY = 63, 1 << 32
 MEETING = 1 << 25
 
 
-#: Characters whose places are worked out together; a longer line goes through in so many at a time.
+#: Characters that are sketched together; a longer line goes through in so many at a time.
 BLOCK = 1 << 18
-#: Substrings are known by a polynomial of their scrambled characters, whole numbers modulo 2**64, so that running sums give the value of
-#: any; equal substrings always have equal values, and what meets by chance is told apart by the texts.
-WRAP = (1 << 64) - 1
-BASE, SEED, MIX = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-UNBASE = pow(BASE, -1, 1 << 64)
-
-
-def _mixed(z: np.ndarray) -> np.ndarray:
-    for shift, by in zip((30, 27), MIX, strict=True):
-        z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
-    return z ^ (z >> np.uint64(31))
-
-
-def _powers(base: int) -> np.ndarray:
-    out = np.full(BLOCK + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_tables: dict[str, np.ndarray] = {}
-
-
-def _power_tables() -> tuple[np.ndarray, np.ndarray]:
-    if not _tables:
-        _tables.update(up=_powers(BASE), down=_powers(UNBASE))
-    return _tables["up"], _tables["down"]
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), "<u4")
-
-
-def _kinds(codes: np.ndarray) -> np.ndarray:
-    return np.minimum((codes * np.uint32(2654435761)) >> np.uint32(26), PROBE - 1).astype(np.int64)
-
-
-def _packed(odd: np.ndarray) -> np.ndarray:
-    """Sketches from rows of 64 parities."""
-    return np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view("<i8")[:, 0]
-
-
-_arrays: dict[int, tuple] = {}
-
-
-def _plan_arrays(length: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """plan() as arrays: how many entries, which come first, and seeds, starts and stops."""
-    if length not in _arrays:
-        own, others = plan(length)
-        if len(_arrays) > 20_000:
-            _arrays.clear()
-        _arrays[length] = (len(own), *np.array(own + others, np.int64).reshape(-1, 3).T)
-    return _arrays[length]
 
 
 def _runs(lines: list[str]) -> Iterator[list[int]]:
@@ -147,52 +95,27 @@ def _runs(lines: list[str]) -> Iterator[list[int]]:
         yield held
 
 
-def marks(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(line, signature, whether it is an entry, sketch) of all signatures, some lines at a time.
+def _odd(text: str, owner: np.ndarray, n: int) -> np.ndarray:
+    """Parities of kinds of character, 64 for each of n owners."""
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    kinds = np.minimum((codes * np.uint32(2654435761)) >> np.uint32(26), PROBE - 1).astype(np.int64)
+    return np.bincount(owner * 64 + kinds, minlength=64 * n) & 1
 
-    A sketch is the parity of how often each of 63 kinds of character occurs.
-    """
-    up, down = _power_tables()
+
+def sketches(lines: list[str]) -> np.ndarray:
+    """Parity of how often each of 63 kinds of character occurs, for every line."""
+    out = np.empty(len(lines), np.int64)
     for held in _runs(lines):
-        size = np.array([len(lines[k]) for k in held], np.int64)
-        if size.sum() > BLOCK:
-            yield _marks_of_one(held[0], lines[held[0]])
-            continue
-        codes = _codes("".join([lines[k] for k in held]))
-        owner = np.repeat(np.arange(len(held)), size)
-        sk = _packed(np.bincount(owner * 64 + _kinds(codes), minlength=64 * len(held)) & 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], dtype=np.uint64)])
-        first, at = np.cumsum(size) - size, np.array(held)
-        for length in np.unique(size).tolist():
-            n_own, seed, start, stop = _plan_arrays(length)
-            if not n_own:
-                continue
-            which = np.flatnonzero(size == length)
-            a, b = first[which][:, None] + start, first[which][:, None] + stop
-            value = (sums[b] - sums[a]) * down[a]
-            sig = _mixed(value + seed.astype(np.uint64) * np.uint64(SEED))
-            entry = np.broadcast_to(np.arange(len(seed)) < n_own, sig.shape)
-            yield np.repeat(at[which], len(seed)), sig.ravel(), entry.ravel(), np.repeat(sk[which], len(seed))
-
-
-def _marks_of_one(at: int, line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The same of one long line, BLOCK characters at a time."""
-    up, _ = _power_tables()
-    n_own, seed, start, stop = _plan_arrays(len(line))
-    places = np.unique(np.concatenate([start, stop]))
-    sums, odd = {0: 0}, np.zeros(64, np.int64)
-    total, scale = 0, 1
-    for from_ in range(0, len(line), BLOCK):
-        codes = _codes(line[from_ : from_ + BLOCK])
-        odd ^= np.bincount(_kinds(codes), minlength=64) & 1
-        here = np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], dtype=np.uint64)
-        for p in places[(places > from_) & (places <= from_ + len(codes))].tolist():
-            sums[p] = (total + scale * int(here[p - from_ - 1])) & WRAP
-        total = (total + scale * int(here[-1])) & WRAP
-        scale = scale * pow(BASE, len(codes), 1 << 64) & WRAP
-    value = np.array([(sums[b] - sums[a]) * pow(UNBASE, a, 1 << 64) & WRAP for a, b in zip(start.tolist(), stop.tolist(), strict=True)], np.uint64)
-    sig = _mixed(value + seed.astype(np.uint64) * np.uint64(SEED))
-    return np.full(len(sig), at), sig, np.arange(len(sig)) < n_own, np.repeat(_packed(odd), len(sig))
+        size = [len(lines[k]) for k in held]
+        if sum(size) <= BLOCK:
+            odd = _odd("".join([lines[k] for k in held]), np.repeat(np.arange(len(held)), size), len(held))
+        else:
+            odd = np.zeros(64, np.int64)
+            for at in range(0, size[0], BLOCK):
+                part = lines[held[0]][at : at + BLOCK]
+                odd ^= _odd(part, np.zeros(len(part), np.int64), 1)
+        out[held] = np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view("<i8")[:, 0]
+    return out
 
 
 def within(a: str, b: str, t: int) -> bool:
@@ -268,6 +191,8 @@ def signatures(df: DataFrame, met=None) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as digest
+
         seen: set[bytes] = set()
         for ids, texts in slices(batches, SLICE_CHARS // 4):
             lines = [x for x in set(_line_rows(ids, texts)[2]) if len(x) >= SHORT]
@@ -277,18 +202,24 @@ def signatures(df: DataFrame, met=None) -> DataFrame:
             seen.update(names)
             if len(seen) > 200_000:
                 seen.clear()  # a line may then come again, which costs a row and changes nothing
+            sigs, sizes = [], []
+            for x in lines:
+                own, others = plan(len(x))
+                sigs += [digest(x[a:b].encode(), s) for s, a, b in own]
+                sigs += [digest(x[a:b].encode(), s) for s, a, b in others]
+                sizes += (len(own), len(others))
+            sig = np.array(sigs, np.uint64)
+            entry = np.repeat(np.tile([True, False], len(lines)), sizes)
+            if met is None:
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.where(entry, ENTRY, 1))], ["sig", "n"])
+                continue
+            bit = sig % np.uint64(MEETING)
+            hit = np.flatnonzero(met.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+            which, at = np.unique(np.repeat(np.arange(2 * len(lines)) // 2, sizes)[hit], return_inverse=True)
+            sk = sketches([lines[k] for k in which.tolist()])[at]  # of lines that meet another
             hashes = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)[:, 0]
-            found = []
-            for line, sig, entry, sk in marks(lines):
-                if met is None:
-                    found.append((sig.view(np.int64), np.where(entry, ENTRY, 1)))
-                    continue
-                bit = sig % np.uint64(MEETING)
-                hit = (met.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                if hit.any():
-                    found.append((sig[hit].view(np.int64), hashes[line[hit]], np.where(entry[hit], sk[hit], sk[hit] | np.int64(-(1 << PROBE)))))
-            if found:  # one batch a slice: many small ones would cost more than all the rest
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["sig", "n"] if met is None else ["sig", "h", "sk"])
+            columns = [sig[hit].view(np.int64), hashes[which][at], np.where(entry[hit], sk, sk | np.int64(-(1 << PROBE)))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["sig", "h", "sk"])
 
     return df.mapInArrow(run, "sig long, n long" if met is None else "sig long, h long, sk long")
 

@@ -86,42 +86,18 @@ def test_query(spark, tmp_path):
     assert rows[2].text_sha256 == sha256(b"more").hexdigest()
 
 
-def test_marks_by_running_sums(monkeypatch):
-    """Equal substrings of equal seeds, and only those, have equal signatures, also in lines that go through in blocks."""
+def test_sketches_in_blocks(monkeypatch):
     rng = random.Random(21)
-    lines = ["".join(rng.choice("abé🙂") for _ in range(rng.choice([10, 11, 20, 23, 90]))) for _ in range(60)] + ["ab" * 300, "ab" * 299 + "b"]
-
-    def all_marks():
-        out = {}
-        for line, sig, entry, sk in X.marks(lines):
-            for k, s, e, sketch in zip(line.tolist(), sig.tolist(), entry.tolist(), sk.tolist(), strict=True):
-                out.setdefault(k, []).append((s, e, sketch))
-        return out
-
-    whole, by = all_marks(), {}
-    for k, found in whole.items():
-        own, others = X.plan(len(lines[k]))
-        for (seed, a, b), (sig, entry, sketch) in zip(own + others, found, strict=True):
-            assert by.setdefault(sig, (seed, lines[k][a:b])) == (seed, lines[k][a:b])
-            assert by.setdefault((seed, lines[k][a:b]), sig) == sig
-            assert entry == ((seed, a, b) in own)
-            kinds = X._kinds(X._codes(lines[k])).tolist()
-            assert sketch == sum((kinds.count(b) & 1) << b for b in range(63))
-    monkeypatch.setattr(X, "BLOCK", 64)
-    X._tables.clear()
-    assert all_marks() == whole
-    X._tables.clear()
-
-
-def test_long_lines_take_bounded_memory():
-    import tracemalloc
-
-    list(X.marks(["x" * 20]))
-    line = "some words of a line " * 500_000
-    tracemalloc.start()
-    assert len(list(X.marks([line]))[0][0]) > 3
-    assert tracemalloc.get_traced_memory()[1] < 40_000_000
-    tracemalloc.stop()
+    lines = ["".join(rng.choice("abé🙂 z") for _ in range(rng.choice([0, 1, 23, 90, 300]))) for _ in range(80)]
+
+    def plain(line):
+        kinds = [min((ord(x) * 2654435761 & 0xFFFFFFFF) >> 26, X.PROBE - 1) for x in line]
+        return sum((kinds.count(b) & 1) << b for b in range(63))
+
+    for block in (X.BLOCK, 64):
+        monkeypatch.setattr(X, "BLOCK", block)
+        assert X.sketches(lines).tolist() == [plain(x) for x in lines]
+    assert len(X.sketches([])) == 0
 
 
 def test_crowded_signatures_meet_in_chunks(spark):
