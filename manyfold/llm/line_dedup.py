@@ -396,20 +396,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     marked = in_bitmap(docs, [F.col("doc_id")], cut(bitmap_of(gone, ["_id"])))
     whole = marked.where("not _found").select("doc_id", "text", (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.array().cast("array<int>").alias("dropped"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200)):
-            texts, sizes, lost = [], [], []
-            for text, drop in zip(b.column(1), b.column(2), strict=True):
-                lines, off = text.as_py().split("\n"), drop.as_py() or []
-                gone = {n for n in off if n < len(lines)}
-                sizes.append(len(lines))
-                lost.append(sorted(gone))
-                texts.append("\n".join([x for n, x in enumerate(lines) if n not in gone]))
-            columns = [b.column(0), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array([len(x) for x in lost], pa.int64()), pa.array(lost, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_lines", "n_dropped", "dropped"])
-
     doubtful = marked.where("_found").select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return whole.unionByName(doubtful.select("doc_id", "text", "dropped").mapInArrow(run, whole.schema))
+    # lines are looked up by number, so the work grows with the lines alone; split stands in a projection of its own, since lambdas would repeat it
+    parts = doubtful.select("doc_id", "text", F.split("text", "\n").alias("_lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("_drop"))
+    parts = parts.select("doc_id", "text", "_lines", F.size("_lines").alias("_n"), F.filter("_drop", lambda x: x < F.size("_lines")).alias("dropped"))
+    stay = F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), F.col("dropped"))
+    text = F.when(F.size("dropped") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
+    rest = parts.select("doc_id", text.alias("text"), F.col("_n").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), "dropped")
+    return whole.unionByName(rest)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
