@@ -23,8 +23,7 @@ def rollup(spark, sf, column="value", block=BLOCK, fanout=2):
     def write(path):
         R.RangeRollup.build(events(spark, sf), "event_id", column, block, "event_type", F.floor(F.col("event_id") / block), fanout=fanout).write(path)
 
-    path = written(spark, f"rollup-{column}-{block}-{fanout}", sf, write)
-    return R.RangeRollup.read(spark, path, "event_id", column, "event_type", fanout)
+    return written(spark, f"rollup-{column}-{block}-{fanout}", sf, write, lambda path: R.RangeRollup.read(spark, path, "event_id", column, "event_type", fanout))
 
 
 S = lambda inner: f"SELECT * FROM ({inner}) t"

@@ -21,12 +21,12 @@ def memories(spark, sf):
 
 def memory_store(spark, sf):
     """The memories as they lie in their store, sorted by topic."""
-    return stores.read(spark, "memories", written(spark, "memories", sf, lambda path: stores.write(memories(spark, sf), "memories", path)))
+    return written(spark, "memories", sf, lambda path: stores.write(memories(spark, sf), "memories", path), lambda path: stores.read(spark, "memories", path))
 
 
 def memory_places(spark, sf):
     """The topic of each id, sorted by id."""
-    return stores.read(spark, "places", written(spark, "places", sf, lambda path: stores.write(M.id_index(memory_store(spark, sf)), "places", path)))
+    return written(spark, "places", sf, lambda path: stores.write(M.id_index(memory_store(spark, sf)), "places", path), lambda path: stores.read(spark, "places", path))
 
 
 MEM = "WITH m AS (SELECT event_id::VARCHAR AS id, epoch_us(ts) / 1e6 AS ts, event_type AS kind, props AS text, 'src' || (event_id % 13) AS source, event_id AS seq, 'user' || user_id AS topic FROM events)\n"
@@ -111,7 +111,7 @@ def tensors(spark, sf):
 
 
 def tensor_store(spark, sf):
-    return stores.read(spark, "tensors", written(spark, "tensors", sf, lambda path: stores.write(tensors(spark, sf), "tensors", path)))
+    return written(spark, "tensors", sf, lambda path: stores.write(tensors(spark, sf), "tensors", path), lambda path: stores.read(spark, "tensors", path))
 
 
 @query("S11_tensor_store", TEN + "SELECT count(*) AS n, sum(nbytes)::BIGINT AS nbytes FROM t")
@@ -284,9 +284,12 @@ def leaves(spark, sf, tampered: bool = False):
 
 def merkle(spark, sf, tampered: bool = False):
     """(tree, root) over the texts, built by the first who asks."""
-    path = written(spark, f"merkle-{tampered}", sf, lambda path: K.build(leaves(spark, sf, tampered)).write.mode("overwrite").parquet(path))
-    tree = spark.read.schema("level int, idx long, hash binary").parquet(path)
-    return tree, bytes.fromhex(K.commit(tree).first().root)
+
+    def opened(path):
+        tree = spark.read.schema("level int, idx long, hash binary").parquet(path)
+        return tree, bytes.fromhex(K.commit(tree).first().root)
+
+    return written(spark, f"merkle-{tampered}", sf, lambda path: K.build(leaves(spark, sf, tampered)).write.mode("overwrite").parquet(path), opened)
 
 
 def _hex(df):

@@ -67,8 +67,7 @@ def building(spark, sf):
 
 
 def element_store(spark, sf):
-    path = written(spark, "elements", sf, lambda path: building(spark, sf).repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(path))
-    return spark.read.parquet(path)
+    return written(spark, "elements", sf, lambda path: building(spark, sf).repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(path), spark.read.parquet)
 
 
 _WIDE = lambda n: f"rpad('{n}' || p_name, {WIDTHS[n]}, '-')"

@@ -34,16 +34,21 @@ def scratch(spark: SparkSession) -> str:
 
 
 _written: dict[tuple, str] = {}
+_opened: dict[tuple, object] = {}
 
 
-def written(spark: SparkSession, name: str, source: str, write) -> str:
-    """The folder where ``write(path)`` has put the layout ``name`` of the tables in ``source``: written once a session, read by all that ask.
+def written(spark: SparkSession, name: str, source: str, write, opened):
+    """What ``opened(path)`` gives of the folder where ``write(path)`` has put the layout ``name`` of the tables in ``source``.
 
-    Tables don't change while a session looks at them; a changed table needs another folder or session.
+    It is written once an application and opened once a session. Tables don't change while a session looks at them; a changed table
+    needs another folder or application.
     """
     key = (spark.sparkContext.applicationId, source, name)
     if key not in _written:
         path = f"{scratch(spark)}/{name}"
         write(path)
         _written[key] = path
-    return _written[key]
+    session = (*key, spark._jsparkSession.hashCode())
+    if session not in _opened:
+        _opened[session] = opened(_written[key])
+    return _opened[session]
