@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from itertools import islice
@@ -29,11 +30,11 @@ from pyspark.sql import DataFrame
 from manyfold.llm.common import id_text, slices, table
 
 #: Bytes of text that are worked on together; words of a text that are held at once; words that a worker remembers between slices.
-SLICE_CHARS, WORDS, MEMO = 2_000_000, 200_000, 250_000
+SLICE_CHARS, WORDS, MEMO = 1_000_000, 200_000, 150_000
 #: Bytes of a window of a long word, and how far one begins after the other; words up to WINDOW are whole.
 WINDOW, STEP = 256, 128
 #: Rows that the states of one recursive query may take together, and ids of one decoding query.
-STATES, IDS = 6_000_000, 500_000
+STATES, IDS = 3_000_000, 500_000
 
 # The letters, numbers and white space of code points below 256.
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
@@ -76,10 +77,16 @@ class Codec:
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         self.size[list(ranks.values())] = [len(t) for t in ranks]
-        splits = [(ranks[token[:i]], ranks[token[i:]], rank) for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False})
-        left, right, made = zip(*splits, strict=True) if splits else ((), (), ())
-        self._table("merges", {"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "made": pa.array(made, pa.int32())})
+        left, right, made = array("i"), array("i"), array("i")
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    left.append(a)
+                    right.append(b)
+                    made.append(rank)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
+        self._table("merges", {n: pa.array(np.array(x, np.int32)) for n, x in (("l", left), ("r", right), ("made", made))})
         self._table("vocab", {"t": pa.array(ranks.values(), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
         self.memo: dict[str, bytes] = {}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -72,3 +73,11 @@ def slices(batches: Iterable[pa.RecordBatch], chars: int, text_at: int = 1) -> I
                 ids, texts, held = [], [], 0
     if ids:
         yield ids, texts
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system, where the C library can: workers live on between tasks."""
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)

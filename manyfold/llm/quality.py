@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manyfold.llm.common import cut, id_text, slices, table
+from manyfold.llm.common import cut, id_text, slices, table, trim
 
 #: Words of a passage.
 PASSAGE = 64
@@ -262,6 +262,7 @@ def keep_good(docs: DataFrame, model: Attention, text_col: str = "text", least:
                     good = shared.value.score([t or "" for t in part.column(at).to_pylist()]) >= least
                     yield part.filter(pa.array(good))
                     held, since = 0, i + 1
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
